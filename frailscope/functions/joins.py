@@ -17,15 +17,16 @@ _DEFAULT_BROADCAST = 64 * 1024 * 1024
 _DEFAULT_SALTS = 16
 
 
-def measure(df: DataFrame, *extra: Column) -> Row:
+def measure(df: DataFrame, *extra: Column, more_bytes_per_row: int = 0) -> Row:
     """Rows and in-memory bytes of ``df`` (plus any ``extra`` aggregates) in one aggregation.
 
-    Call it on stored tables or cheap plans: it runs a job over ``df``.
+    Call it on stored tables or cheap plans: it runs a job over ``df``. ``more_bytes_per_row``
+    allows for columns that ``df`` will gain before it is broadcast.
     """
     octets = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
     text = F.coalesce(F.sum(sum(octets[1:], octets[0])), F.lit(0)) if octets else F.lit(0)
     rows = F.count(F.lit(1))
-    fixed = rows * (32 + 8 * len(df.columns))
+    fixed = rows * (32 + 8 * len(df.columns) + more_bytes_per_row)
     return df.agg(rows.alias("rows"), (fixed + text).cast("long").alias("bytes"), *extra).first()
 
 
@@ -38,14 +39,21 @@ def fits_broadcast(df: DataFrame, measured: Row | None = None) -> bool:
     return limit > 0 and (measured or measure(df))["bytes"] <= limit
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+def lookup_join(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    measured: Row | None = None,
+) -> DataFrame:
     """Join a fact table to a lookup on equal keys.
 
     A small lookup is broadcast, so the facts are not shuffled. A large one is shuffled and
-    adaptive execution splits the partitions of hot keys.
+    adaptive execution splits the partitions of hot keys. ``measured`` is an upper bound of the
+    size of the lookup, if the caller has one.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    return facts.join(F.broadcast(lookup) if fits_broadcast(lookup) else lookup, keys, how)
+    return facts.join(F.broadcast(lookup) if fits_broadcast(lookup, measured) else lookup, keys, how)
 
 
 def people_join(
@@ -60,10 +68,15 @@ def people_join(
     A small people table is broadcast. A large one is copied once per salt and the facts are
     spread over the salts by the columns ``spread_by``, so the rows of one person are worked on
     by several tasks. Each fact row meets each of its people rows exactly once either way.
+
+    A setting of one salt asks for a plain join, which reads fact tables bucketed by person
+    without shuffling them; it suits data without very large persons.
     """
     if fits_broadcast(people, measured):
         return facts.join(F.broadcast(people), on)
     salts = int(facts.sparkSession.conf.get(SALT_CONF, str(_DEFAULT_SALTS)))
+    if salts <= 1:
+        return facts.join(people, on)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = people.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [on, "_salt"]).drop("_salt")

@@ -41,6 +41,9 @@ DOMAINS: dict[str, DomainColumns] = {
     ),
 }
 
+# Fixed value: the longest concept name the data model allows.
+_NAME_BYTES = 255
+
 OUTPUTS = ("raw", "concept", "category")
 _WINDOW = ("person_id", "person_start_date", "person_end_date")
 
@@ -63,11 +66,18 @@ def search_window(
 
 
 def domain_events(cdm: Cdm, domains: Sequence[str] = tuple(DOMAINS), source_values: bool = False) -> DataFrame:
-    """The clinical domains as one table (person_id, concept_id, start_date, domain[, source_value])."""
+    """The clinical domains as one table (person_id, concept_id, start_date, domain[, source_value]).
+
+    A data source that holds several domains in one table may serve them itself, with a method
+    ``clinical_events(domains, source_values)`` of the same result.
+    """
+    unknown = [d for d in domains if d not in DOMAINS]
+    if unknown or not domains:
+        raise ValueError(f"unknown domains {unknown}; choose from {', '.join(DOMAINS)}")
+    if hasattr(cdm, "clinical_events"):
+        return cdm.clinical_events(domains, source_values)
     stacked = None
     for domain in domains:
-        if domain not in DOMAINS:
-            raise ValueError(f"unknown domain {domain!r}; choose from {', '.join(DOMAINS)}")
         names = DOMAINS[domain]
         part = cdm.table(names.table).select(
             "person_id",
@@ -77,8 +87,6 @@ def domain_events(cdm: Cdm, domains: Sequence[str] = tuple(DOMAINS), source_valu
             *([F.col(names.source).alias("source_value")] if source_values else []),
         )
         stacked = part if stacked is None else stacked.unionByName(part)
-    if stacked is None:
-        raise ValueError("no domains given")
     return stacked
 
 
@@ -147,12 +155,14 @@ def find_events(
     carried = flag + ([] if output == "raw" else ["category", "score"])
     names = ["concept_name"] if output == "raw" else []
 
-    # One lookup of concept -> what the output needs, joined before the facts are shuffled.
+    # One lookup of concept -> what the output needs, joined before the facts are shuffled. It has
+    # at most one row per row of the set, so measuring the set bounds it.
+    wanted = members.select("concept_id", *carried)
+    bound = measure(wanted, more_bytes_per_row=_NAME_BYTES if names else 0)
     standard = cdm.table("concept").filter(F.col("standard_concept") == "S").select("concept_id", *names).distinct()
-    lookup = standard.join(members.select("concept_id", *carried).distinct(), "concept_id")
-    hits = _within_windows(
-        lookup_join(domain_events(cdm, domains), lookup, "concept_id"), cohort, acute_lookback, chronic_lookback
-    )
+    lookup = standard.join(wanted.distinct(), "concept_id")
+    facts = lookup_join(domain_events(cdm, domains), lookup, "concept_id", measured=bound)
+    hits = _within_windows(facts, cohort, acute_lookback, chronic_lookback)
 
     kept = _kept(cohort)
     window = ["person_start_date", "person_end_date"]

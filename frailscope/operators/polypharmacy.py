@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frailscope.functions.dates import days_between, in_closed_window, years_before
-from frailscope.functions.joins import lookup_join, people_join
+from frailscope.functions.joins import lookup_join, measure, people_join
 
 RULES = ("endpoint", "overlap")
 POLYPHARMACY = "Polypharmacy"
@@ -36,21 +36,24 @@ def drug_exposure_counts(
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
-    start, end, index = F.col("drug_era_start_date"), F.col("drug_era_end_date"), F.col("_index")
+    start, end = F.col("drug_era_start_date"), F.col("drug_era_end_date")
+    opened, index = F.col("_opens"), F.col("_index")
     if rule == "endpoint":
         opens = years_before(F.col(index_date), 1 if lookback is None else lookback)
-        opened = F.col("_opens")
         exposed = in_closed_window(start, opened, index) | in_closed_window(end, opened, index)
     else:
         opens = F.date_sub(index_date, 365 if lookback is None else lookback)
-        opened = F.col("_opens")
         exposed = ((start > opened) & (start <= index)) | ((start <= opened) & (end > opened))
     eras = drug_era.select("person_id", "drug_concept_id", start, end).filter(days_between(start, end) >= min_days)
     if exclude is not None:
         eras = lookup_join(eras, exclude.select("drug_concept_id").distinct(), "drug_concept_id", "left_anti")
     people = cohort.select("person_id", F.col(index_date).alias("_index"), opens.alias("_opens")).distinct()
+    # Under either rule an era must start by the last index date and end after the first window opens.
+    size = measure(people, F.min("_opens").alias("lo"), F.max("_index").alias("hi"))
+    if size["lo"] is not None and size["hi"] is not None:
+        eras = eras.filter((start <= F.lit(size["hi"])) & (end >= F.lit(size["lo"])))
     return (
-        people_join(eras, people, spread_by=["drug_concept_id"])
+        people_join(eras, people, spread_by=["drug_concept_id"], measured=size)
         .filter(exposed)
         .select("person_id", "drug_concept_id")
         .distinct()

@@ -30,15 +30,11 @@ def deficit_rates(spans: DataFrame, min_days: int = 365) -> DataFrame:
     )
 
 
-def rate_distribution(rates: DataFrame, approximate: bool = False) -> DataFrame:
-    """Mean, standard deviation and quantiles of the rates per category.
+def rate_distribution(rates: DataFrame) -> DataFrame:
+    """Mean, standard deviation and exact quantiles of the rates per category.
 
-    Quantiles are exact; ``approximate`` trades that for one pass less.
+    ``rates`` is read twice, so pass a stored table.
     """
     rate = "event_per_year"
-    moments = [F.avg(rate).alias("avg"), F.stddev_samp(rate).alias("std")]
-    by_category = rates.groupBy("category")
-    if approximate:
-        sketched = [F.percentile_approx(rate, p).alias(name) for name, p in RATE_QUANTILES.items()]
-        return by_category.agg(*moments, *sketched)
-    return by_category.agg(*moments).join(exact_quantiles(rates, ["category"], rate, RATE_QUANTILES), "category")
+    moments = rates.groupBy("category").agg(F.avg(rate).alias("avg"), F.stddev_samp(rate).alias("std"))
+    return moments.join(exact_quantiles(rates, ["category"], rate, RATE_QUANTILES), "category")

@@ -77,18 +77,15 @@ def fi_by_person(
         fi_detail(events, search, person_id=person_id, search_person_id=search_person_id, **options)
         .groupBy("person_id")
         .agg(F.sum("score").alias("fi"))
-        .withColumn("found_ehr", F.lit(1))
+        .withColumns({search_person_id: F.col("person_id"), "found_ehr": F.lit(1)})
     )
-    known = events.select(F.col(person_id).alias("person_id")).distinct()
-    unseen = (
-        search.select(F.col(search_person_id).alias("person_id"))
-        .distinct()
-        .join(known, "person_id", "left_anti")
-        .select("person_id", F.lit(0.0).alias("fi"), F.lit(0).alias("found_ehr"))
+    wanted = search if rejoin else search.select(search_person_id).distinct()
+    seen = F.col("found_ehr").isNotNull()
+    scores = wanted.join(scored.select(search_person_id, "fi", "found_ehr"), search_person_id, "left").withColumns(
+        {"fi": F.when(seen, F.col("fi")).otherwise(0.0), "found_ehr": F.when(seen, 1).otherwise(0)}
     )
-    scores = scored.unionByName(unseen)
-    if rejoin:
-        scores = search.join(scores.withColumnRenamed("person_id", search_person_id), search_person_id, "left")
+    if not rejoin:
+        scores = scores.withColumnRenamed(search_person_id, "person_id")
     return scores.orderBy(F.desc("fi"), search_person_id if rejoin else "person_id") if ordered else scores
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -109,9 +109,13 @@ def read_codes(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
 
 
-def write_summary(df: DataFrame, path: str) -> None:
+def write_summary(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
     """Write a final summary as one CSV file with a header.
 
-    For aggregated results only: the rows are gathered into one file.
+    For aggregated results only: the rows end up in one file. They are gathered by a shuffle, so
+    everything before it keeps its parallelism.
     """
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    one = df.repartition(1)
+    if order_by:
+        one = one.sortWithinPartitions(*order_by)
+    one.write.mode("overwrite").csv(path, header=True)
