@@ -53,7 +53,8 @@ def lookup_join(
     size of the lookup, if the caller has one.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    return facts.join(F.broadcast(lookup) if fits_broadcast(lookup, measured) else lookup, keys, how)
+    joined = facts.join(F.broadcast(lookup) if fits_broadcast(lookup, measured) else lookup, keys, how)
+    return joined.select(*facts.columns) if how in ("left_semi", "left_anti") else joined
 
 
 def people_join(

@@ -17,10 +17,10 @@ def band_labels(breaks: Sequence[int]) -> list[str]:
     return [f"[{a},{b})" for a, b in pairs[:-1]] + [f"[{a},{b}]" for a, b in pairs[-1:]]
 
 
-def band(value: Column, breaks: Sequence[int]) -> Column:
-    """The band label of ``value``; NULL outside the breaks."""
-    label = F.lit(None).cast("string")
-    for (low, high), name in reversed(list(zip(zip(breaks, breaks[1:]), band_labels(breaks)))):
-        inside = (value >= low) & ((value <= high) if high == breaks[-1] else (value < high))
-        label = F.when(inside, F.lit(name)).otherwise(label)
-    return label
+def band(value: str, breaks: Sequence[int]) -> Column:
+    """The band label of the SQL expression ``value``; NULL outside the breaks."""
+    bands = list(zip(breaks, breaks[1:], band_labels(breaks)))
+    cases = [f"WHEN {value} >= {low} AND {value} < {high} THEN '{name}'" for low, high, name in bands[:-1]]
+    low, high, name = bands[-1]
+    cases.append(f"WHEN {value} BETWEEN {low} AND {high} THEN '{name}'")
+    return F.expr(f"CASE {' '.join(cases)} END")

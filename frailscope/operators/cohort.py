@@ -87,7 +87,7 @@ def derive_strata(
     drop_null_strata: bool = False,
 ) -> DataFrame:
     """Sex flag, age band (NULL outside the breaks) and the start of the lookback window."""
-    age = F.when(F.col("yob_imputed") == 1, IMPUTED_AGE).otherwise(F.col("age"))
+    age = f"(CASE WHEN yob_imputed = 1 THEN {IMPUTED_AGE} ELSE age END)"
     out = cohort.select(
         "person_id",
         F.when(F.col("gender_concept_id") == MALE, 0).otherwise(1).alias("is_female"),
@@ -108,7 +108,7 @@ def earliest_index(cohort: DataFrame, ids: DataFrame | None = None) -> DataFrame
     if ids is not None:
         kept = lookup_join(cohort, ids.select("person_id").distinct(), "person_id", "left_semi")
     first = kept.groupBy("person_id").agg(F.min("index_date").alias("index_date"))
-    return kept.join(first, ["person_id", "index_date"], "left_semi")
+    return kept.join(first, ["person_id", "index_date"], "left_semi").select(*cohort.columns)
 
 
 def sample_cohort(cohort: DataFrame, fraction: float, seed: int | str = 0) -> DataFrame:

@@ -155,11 +155,11 @@ def find_events(
     carried = flag + ([] if output == "raw" else ["category", "score"])
     names = ["concept_name"] if output == "raw" else []
 
-    # One lookup of concept -> what the output needs, joined before the facts are shuffled. It has
-    # at most one row per row of the set, so measuring the set bounds it.
+    # One lookup of concept -> what the output needs, joined before the facts are shuffled. Concept
+    # ids are unique in the vocabulary, so the lookup has no more rows than the set measured here.
     wanted = members.select("concept_id", *carried)
     bound = measure(wanted, more_bytes_per_row=_NAME_BYTES if names else 0)
-    standard = cdm.table("concept").filter(F.col("standard_concept") == "S").select("concept_id", *names).distinct()
+    standard = cdm.table("concept").filter(F.col("standard_concept") == "S").select("concept_id", *names)
     lookup = standard.join(wanted.distinct(), "concept_id")
     facts = lookup_join(domain_events(cdm, domains), lookup, "concept_id", measured=bound)
     hits = _within_windows(facts, cohort, acute_lookback, chronic_lookback)

@@ -13,6 +13,14 @@ from frailscope.sources.cdm import OmopCdm
 # Which order lines play which clinical domain.
 _DOMAIN_LINES = {"condition": (1, 2, 3), "observation": (4, 5), "procedure": (6,), "device": (7,)}
 
+# The columns of the test tables that the views use.
+_RAW = {
+    "customer": "c_custkey long",
+    "orders": "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+}
+
 
 class FixtureCdm(OmopCdm):
     """Serves OMOP tables derived from ``customer``, ``orders``, ``lineitem`` and ``part``.
@@ -29,7 +37,7 @@ class FixtureCdm(OmopCdm):
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
-            self._raw[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+            self._raw[name] = self.spark.read.schema(_RAW[name]).parquet(f"{self._dir}/{name}.parquet")
         return self._raw[name]
 
     def table(self, name: str) -> DataFrame:
@@ -68,22 +76,13 @@ class FixtureCdm(OmopCdm):
         )
 
     def _concept(self) -> DataFrame:
-        kind, key = F.col("p_type"), F.col("p_partkey")
-        code = F.concat(
-            F.substring(kind, 1, 1),
-            F.lpad(F.col("p_size").cast("string"), 2, "0"),
-            F.lit("."),
-            (key % 10).cast("string"),
-        )
-        return self.raw("part").select(
-            key.alias("concept_id"),
-            F.col("p_name").alias("concept_name"),
-            code.alias("concept_code"),
-            F.when(kind.isin("ECONOMY", "LARGE"), "ICD10CM")
-            .when(kind == "PROMO", "CPT4")
-            .otherwise("SNOMED")
-            .alias("vocabulary_id"),
-            F.when(key % 20 != 0, "S").alias("standard_concept"),
+        return self.raw("part").selectExpr(
+            "p_partkey AS concept_id",
+            "p_name AS concept_name",
+            "concat(left(p_type, 1), lpad(string(p_size), 2, '0'), '.', string(p_partkey % 10)) AS concept_code",
+            "CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'ICD10CM' WHEN p_type = 'PROMO' THEN 'CPT4' ELSE 'SNOMED' END"
+            " AS vocabulary_id",
+            "CASE WHEN p_partkey % 20 <> 0 THEN 'S' END AS standard_concept",
         )
 
     def _concept_relationship(self) -> DataFrame:
@@ -169,24 +168,18 @@ class FixtureCdm(OmopCdm):
         )
 
     def _fi_indices(self) -> DataFrame:
-        brand, kind, size, key = F.col("p_brand"), F.col("p_type"), F.col("p_size"), F.col("p_partkey")
-
-        def row(fi: str, category, score):
-            return F.struct(
-                F.lit(fi).alias("fi"), category.alias("category"), score.cast("double").alias("score")
-            )
-
-        rows = F.array_compact(
-            F.array(
-                F.when(size <= 40, row("vafi", brand, F.lit(1.0))),
-                F.when(size > 20, row("hfrs", brand, size / 10)),
-                row("efi", brand, F.lit(1.0)),
-                F.when(key % 7 == 0, row("efi", kind, F.lit(1.0))),
-            )
+        rows = F.expr(
+            """
+            array_compact(array(
+              CASE WHEN p_size <= 40 THEN struct('vafi' AS fi, p_brand AS category, 1.0D AS score) END,
+              CASE WHEN p_size > 20 THEN struct('hfrs' AS fi, p_brand AS category, p_size / 10.0D AS score) END,
+              struct('efi' AS fi, p_brand AS category, 1.0D AS score),
+              CASE WHEN p_partkey % 7 = 0 THEN struct('efi' AS fi, p_type AS category, 1.0D AS score) END))
+            """
         )
         return (
             self.raw("part")
-            .select(key.alias("concept_id"), F.explode(rows).alias("r"))
+            .select(F.col("p_partkey").alias("concept_id"), F.explode(rows).alias("r"))
             .select("r.category", "concept_id", "r.fi", "r.score")
         )
 
