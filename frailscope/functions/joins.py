@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from frailscope.sources.cdm import store
+
 BROADCAST_CONF = "frailscope.broadcast.maxBytes"
 SALT_CONF = "frailscope.salts"
 _DEFAULT_BROADCAST = 64 * 1024 * 1024
@@ -48,12 +50,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join a fact table to a lookup on equal keys.
 
-    A small lookup is broadcast, so the facts are not shuffled. A large one is shuffled and
-    adaptive execution splits the partitions of hot keys. ``measured`` is an upper bound of the
-    size of the lookup, if the caller has one.
+    A small lookup is broadcast, so the facts are not shuffled. A large one is stored first: both
+    sides then enter the join straight from a shuffle, which is what lets adaptive execution split
+    the partitions of hot keys (it leaves joins alone whose side is the output of an aggregation
+    or another join on the same key). ``measured`` is an upper bound of the size of the lookup, if
+    the caller has one.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    joined = facts.join(F.broadcast(lookup) if fits_broadcast(lookup, measured) else lookup, keys, how)
+    side = F.broadcast(lookup) if fits_broadcast(lookup, measured) else store(lookup, "lookup")
+    joined = facts.join(side, keys, how)
     return joined.select(*facts.columns) if how in ("left_semi", "left_anti") else joined
 
 

@@ -99,6 +99,11 @@ def polypharmacy_prevalence(counts: DataFrame, cohort: DataFrame, cutoff: int =
     )
 
 
+def flag_exposure(counts: DataFrame, above: int = 5) -> DataFrame:
+    """Add ``pp``: 1 for more than ``above`` ingredients, else 0."""
+    return counts.withColumn("pp", F.when(F.col("n") > above, 1).otherwise(0))
+
+
 def exposure_distribution(
     counts: DataFrame, shares_from: Sequence[int] = (10, 15), flag_above: int = 5
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frailscope.functions.joins import lookup_join
 from frailscope.operators import agreement, concepts, events, polypharmacy, rates, scoring, summaries
 from frailscope.operators import cohort as people
 from frailscope.plans.frailty import IndexSpec, build_cohort, frailty_study, index_events
@@ -68,7 +69,7 @@ class Inputs:
     def dated_events(self, index: str) -> DataFrame:
         """All clinical events with the categories of an index, whatever their date."""
         members = concepts.concept_set(self.fi_indices, index).select("concept_id", "category", "score")
-        return events.domain_events(self.cdm).join(members.distinct(), "concept_id")
+        return lookup_join(events.domain_events(self.cdm), members.distinct(), "concept_id")
 
     @cached_property
     def search(self) -> DataFrame:
@@ -400,6 +401,11 @@ def index_with_polypharmacy(q: Inputs):
     return index_events(q.cdm, q.fi_indices, q.cohort, EFI_DRUGS)
 
 
+@query
+def ingredients_flagged(q: Inputs):
+    return polypharmacy.flag_exposure(q.exposure_counts)
+
+
 @query
 def ingredients_zero_filled(q: Inputs):
     return polypharmacy.zero_fill_counts(q.exposure_counts, q.cohort, ["age_group"])
@@ -496,6 +502,11 @@ def frailty_summary_with_polypharmacy(q: Inputs):
     return q.study(EFI_DRUGS).summary()
 
 
+@query
+def frailty_summary_with_lookbacks(q: Inputs):
+    return q.study(CHRONIC_3).summary(with_lookbacks=True)
+
+
 @query
 def category_prevalence(q: Inputs):
     return q.study(ONE_YEAR).prevalence(q.vafi.select("category"))
@@ -512,6 +523,15 @@ def category_report(q: Inputs):
     return summaries.percent_category(found.events, found.cohort, "Brand#7", "vafi", q.fi_indices)
 
 
+@query
+def stacked_category_reports(q: Inputs):
+    reports = {}
+    for spec, category in ((ONE_YEAR, "Brand#7"), (EFI_DRUGS, "PROMO")):
+        found = q.study(spec)
+        reports[spec.name] = summaries.percent_category(found.events, found.cohort, category, spec.name, q.fi_indices)
+    return summaries.stack_summaries(reports)
+
+
 def _totals(q: Inputs) -> DataFrame:
     return summaries.category_totals(index_events(q.cdm, q.fi_indices, q.cohort, EFI_DRUGS), q.cohort)
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from frailscope.functions.strata import AGE_BREAKS
 from frailscope.operators.cohort import apply_washout, derive_strata, earliest_index, random_index_visit
@@ -101,12 +102,18 @@ class Study:
     scores: DataFrame
     one_row_per_person: bool
 
-    def summary(self) -> DataFrame:
-        return summarize_fi(self.scores)
+    def summary(self, with_lookbacks: bool = False) -> DataFrame:
+        """Classes per stratum, on request with the lookbacks of the search."""
+        out = summarize_fi(self.scores)
+        if not with_lookbacks:
+            return out
+        spec = self.spec
+        return out.withColumns({"acute_lb": F.lit(spec.acute_lookback), "chronic_lb": F.lit(spec.chronic_lookback)})
 
     def prevalence(self, categories: Sequence[str] | DataFrame) -> DataFrame:
         """Presence-based prevalence of every category."""
-        presence = self.events.selectExpr("person_id", "age_group", "is_female", "category", "1.0D AS score").distinct()
+        presence = self.events.select("person_id", "age_group", "is_female", "category").distinct()
+        presence = presence.withColumn("score", F.lit(1.0))
         return category_prevalence(
             presence, self.cohort, categories, unique_people=self.one_row_per_person, drop_null_strata=True
         )

@@ -278,6 +278,14 @@ GROUP BY g.age_group, g.is_female, g.category""",
     )
 
 
+def _category_report(category: str, source: str) -> str:
+    return f"""
+SELECT k.age_group, k.is_female, '{category}' AS category, CAST(count(e.person_id) AS DOUBLE) AS n_yes,
+       round(count(e.person_id) / CAST(count(*) AS DOUBLE), 6) AS prop_yes
+FROM cohort k LEFT JOIN (SELECT DISTINCT person_id FROM {source} WHERE category = '{category}') e ON e.person_id = k.person_id
+GROUP BY k.age_group, k.is_female"""
+
+
 def _cohort_summary(cohort: str) -> str:
     return _sql(
         f"""
@@ -428,6 +436,7 @@ FROM cohort k JOIN drugs d ON d.person_id = k.person_id WHERE d.n >= 10""",
             _ingredients("drugs", 2),
         ),
         "index_with_polypharmacy": _sql("SELECT * FROM efi_drugs", *_EFI_DRUGS),
+        "ingredients_flagged": _sql("SELECT *, CASE WHEN n > 5 THEN 1 ELSE 0 END AS pp FROM drugs", _ingredients("drugs", 2)),
         "ingredients_zero_filled": _sql("SELECT * FROM filled", _ingredients("drugs", 2), _ZERO_FILLED),
         "polypharmacy_prevalence": _sql(
             "SELECT age_group, round(avg(CASE WHEN n >= 5 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS pp_ratio FROM filled GROUP BY age_group",
@@ -487,15 +496,19 @@ FROM cohort k LEFT JOIN by_person b ON b.person_id = k.person_id""",
         "frailty_summary_with_polypharmacy": _sql(
             _summary("scored"), *_EFI_DRUGS, _scores("scored", "efi_drugs", denominator=31)
         ),
+        "frailty_summary_with_lookbacks": _sql(
+            f"SELECT s.*, 1 AS acute_lb, 3 AS chronic_lb FROM ({_summary('scored')}) s",
+            _events("ev", "vafi", chronic=3),
+            _scores("scored", "ev"),
+        ),
         "category_prevalence": _prevalence("cohort"),
         "category_prevalence_all_periods": _prevalence("cohort_all"),
-        "category_report": _sql(
-            """
-SELECT k.age_group, k.is_female, 'Brand#7' AS category, CAST(count(e.person_id) AS DOUBLE) AS n_yes,
-       round(count(e.person_id) / CAST(count(*) AS DOUBLE), 6) AS prop_yes
-FROM cohort k LEFT JOIN (SELECT DISTINCT person_id FROM ev WHERE category = 'Brand#7') e ON e.person_id = k.person_id
-GROUP BY k.age_group, k.is_female""",
-            _events("ev", "vafi"),
+        "category_report": _sql(_category_report("Brand#7", "ev"), _events("ev", "vafi")),
+        "stacked_category_reports": _sql(
+            f"SELECT r.*, 'vafi' AS fi FROM ({_category_report('Brand#7', 'ev_vafi')}) r"
+            f" UNION ALL SELECT r.*, 'efi' FROM ({_category_report('PROMO', 'ev_efi')}) r",
+            _events("ev_vafi", "vafi"),
+            _events("ev_efi", "efi"),
         ),
         "category_totals": _sql("SELECT * FROM totals", *_EFI_DRUGS, _TOTALS),
         "small_cells_as_zero": _sql(
