@@ -89,7 +89,11 @@ def people_join(
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi join that treats NULL keys as equal; ``right`` must be a table of aggregates."""
+    """Equi join that treats NULL keys as equal; ``right`` has one row per key.
+
+    The null-safe keys make both sides enter the join from a shuffle, so adaptive execution can
+    split a hot key of ``left`` although ``right`` was already aggregated by it.
+    """
     renamed = right.select([F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     condition = F.lit(True)
     for key in on:

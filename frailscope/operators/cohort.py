@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from frailscope.functions.dates import days_between, years_before
-from frailscope.functions.joins import lookup_join
+from frailscope.functions.joins import lookup_join, null_safe_join
 from frailscope.functions.sampling import key_threshold, random_key
 from frailscope.functions.strata import AGE_BREAKS, band
 from frailscope.schemas import require_columns
@@ -66,10 +66,13 @@ def apply_washout(
                 F.date_sub(F.lit("1970-01-01").cast("date"), F.col("p.back")).alias(end),
             )
         )
+        observed = index.join(periods, "person_id")
+    else:
+        # Both sides are shuffled, so a person with very many periods can be split.
+        observed = null_safe_join(periods, index, ["person_id"], "inner").select(*index.columns, start, end)
     age = F.year("index_date") - F.col("year_of_birth")
     return (
-        index.join(periods, "person_id")
-        .filter(days_between(F.col(start), F.col("index_date")) >= min_days)
+        observed.filter(days_between(F.col(start), F.col("index_date")) >= min_days)
         .withColumns(
             {
                 "age": age,

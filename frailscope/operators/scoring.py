@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frailscope.functions.joins import people_join
+from frailscope.functions.joins import null_safe_join, people_join
 from frailscope.schemas import require_columns
 
 GROUPINGS = ("person_id", "category")
@@ -81,7 +81,7 @@ def fi_by_person(
     )
     wanted = search if rejoin else search.select(search_person_id).distinct()
     seen = F.col("found_ehr").isNotNull()
-    scores = wanted.join(scored.select(search_person_id, "fi", "found_ehr"), search_person_id, "left").withColumns(
+    scores = null_safe_join(wanted, scored.select(search_person_id, "fi", "found_ehr"), [search_person_id]).withColumns(
         {"fi": F.when(seen, F.col("fi")).otherwise(0.0), "found_ehr": F.when(seen, 1).otherwise(0)}
     )
     if not rejoin:

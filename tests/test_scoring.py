@@ -43,9 +43,10 @@ def test_descending_order_and_interval(events, search):
     assert [tuple(r) for r in ordered] == [(1, 3.0, 1), (2, 0.0, 1), (3, 0.0, 1), (4, 0.0, 0)]
 
 
-def test_rejoin_keeps_the_search_rows(events, search):
+def test_rejoin_keeps_the_search_rows(events, search, both_joins):
     got = s.fi_by_person(events, search.union(search), rejoin=True, **OPTIONS)
     assert got.columns == ["patient", "search_date", "fi", "found_ehr"]
+    assert rows(got, "patient", "fi", "found_ehr")[::2] == [(1, 2.0, 1), (2, 0.0, 1), (3, 0.0, 1), (4, 0.0, 0)]
     assert got.count() == 8
 
 

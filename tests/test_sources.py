@@ -2,11 +2,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import day, rows
+from frailscope.functions.joins import BROADCAST_CONF, SALT_CONF
 from frailscope.functions.quantiles import exact_quantiles
 from frailscope.operators import events
 from frailscope.sources import cdm
 
 
+@pytest.fixture
+def plain_conf(spark):
+    """Takes back what a test sets."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    yield
+    spark.conf.unset(BROADCAST_CONF)
+    spark.conf.unset(SALT_CONF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.fixture
 def folder(tmp_path):
     return str(tmp_path)
@@ -28,7 +39,7 @@ def test_tables_by_view_path_and_schema(spark, folder):
         cdm.OmopCdm(spark, tables={"person": person.drop("year_of_birth")}).table("person")
 
 
-def test_catalog_tables_and_buckets(spark, tmp_path):
+def test_catalog_tables_and_buckets(spark, tmp_path, make_cdm, plain_conf):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS frailscope_test LOCATION '{tmp_path}/db'")
     try:
         names = events.DOMAINS["condition"]
@@ -40,10 +51,21 @@ def test_catalog_tables_and_buckets(spark, tmp_path):
         stored = cdm.checkpoint_table(spark.range(3), "numbers", schema="frailscope_test")
         assert stored.count() == 3
         assert cdm.checkpoint_table(spark.range(5), "numbers", schema="frailscope_test").count() == 5
-        table = cdm.OmopCdm(spark, schema="frailscope_test").table(names.table)
-        other = table.select("person_id", F.lit(1).alias("x"))
-        plan = table.hint("merge").join(other, "person_id")._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan
+        source = cdm.OmopCdm(spark, schema="frailscope_test", tables={"concept": make_cdm([(1, "S")]).table("concept")})
+        people = spark.createDataFrame(
+            [(p, day("2020-01-01"), day("2021-01-01"), "x" * 40) for p in range(50)],
+            "person_id long, person_start_date date, person_end_date date, age_group string",
+        )
+        members = spark.createDataFrame([("A", 1, 1.0)], "category string, concept_id long, score double")
+        # The concepts may be broadcast and the people may not.
+        spark.conf.set(BROADCAST_CONF, "1000")
+        spark.conf.set(SALT_CONF, "1")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = events.find_events(source, people, members, "category", domains=["condition"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [person_id" in plan
+        assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(person_id" in line]) == 1  # people
+        assert found.count() == 50
     finally:
         spark.sql("DROP DATABASE frailscope_test CASCADE")
 
