@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple, Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from frailscope.functions.dates import in_closed_window, years_before
-from frailscope.functions.joins import lookup_join, measure, people_join
+from frailscope.functions.joins import fits_broadcast, lookup_join, measure, people_join
 from frailscope.operators.concepts import concept_set, require_index
 from frailscope.schemas import require_columns
 
@@ -94,30 +94,40 @@ def _kept(cohort: DataFrame) -> list[str]:
     return [c for c in cohort.columns if c not in _WINDOW]
 
 
-def _within_windows(facts: DataFrame, cohort: DataFrame, acute: int, chronic: int) -> DataFrame:
-    """Facts inside the window of their person, ``person_start_date`` moved back by the lookback.
+def _search(
+    facts: DataFrame, lookup: DataFrame, on: str, bound: Row, cohort: DataFrame, acute: int, chronic: int
+) -> DataFrame:
+    """Facts whose ``on`` is in the lookup and whose date is in the window of their person.
+
+    ``person_start_date`` is moved back by the lookback, for which ``lookup`` carries ``chronic`` if
+    the two lookbacks differ. Both window starts are worked out once per person, and the span of
+    all windows is handed to the scan of the facts.
 
-    ``facts`` carries ``chronic`` if the two lookbacks differ. Both window starts are worked out
-    once per person, and the span of all windows is handed to the scan of the facts.
+    A broadcast lookup goes first, it costs no shuffle. A large one (by its ``bound``) goes last, so
+    that only facts inside a window are shuffled to it.
     """
-    start = F.col("person_start_date")
-    people = cohort.withColumns(
-        {"_acute": years_before(start, acute - 1), "_chronic": years_before(start, chronic - 1)}
-    ).drop("person_start_date")
-    if acute == chronic:
-        people = people.drop("_chronic")
-        moved = F.col("_acute")
-        earliest = F.min("_acute")
-    else:
+    start, date = F.col("person_start_date"), F.col("start_date")
+    starts = {"_acute": years_before(start, acute - 1)}
+    moved = earliest = F.col("_acute")
+    if acute != chronic:
+        starts["_chronic"] = years_before(start, chronic - 1)
         moved = F.when(F.col("chronic") == 1, F.col("_chronic")).otherwise(F.col("_acute"))
-        earliest = F.min(F.least("_acute", "_chronic"))
-    size = measure(people, earliest.alias("lo"), F.max("person_end_date").alias("hi"))
+        earliest = F.least("_acute", "_chronic")
+    people = cohort.withColumns(starts).drop("person_start_date")
+    size = measure(people, F.min(earliest).alias("lo"), F.max("person_end_date").alias("hi"))
     if size["lo"] is not None and size["hi"] is not None:
-        facts = facts.filter(F.col("start_date").between(F.lit(size["lo"]), F.lit(size["hi"])))
-    return (
-        people_join(facts, people, spread_by=["concept_id", "start_date"], measured=size)
-        .withColumn("person_start_date", moved)
-        .filter(in_closed_window(F.col("start_date"), F.col("person_start_date"), F.col("person_end_date")))
+        facts = facts.filter(date.between(F.lit(size["lo"]), F.lit(size["hi"])))
+
+    def near_people(df: DataFrame) -> DataFrame:
+        joined = people_join(df, people, spread_by=[on, "start_date"], measured=size)
+        return joined.filter(in_closed_window(date, earliest, F.col("person_end_date")))
+
+    if fits_broadcast(lookup, bound):
+        hits = near_people(lookup_join(facts, lookup, on, measured=bound))
+    else:
+        hits = lookup_join(near_people(facts), lookup, on, measured=bound)
+    return hits.withColumn("person_start_date", moved).filter(
+        in_closed_window(date, F.col("person_start_date"), F.col("person_end_date"))
     )
 
 
@@ -155,14 +165,15 @@ def find_events(
     carried = flag + ([] if output == "raw" else ["category", "score"])
     names = ["concept_name"] if output == "raw" else []
 
-    # One lookup of concept -> what the output needs, joined before the facts are shuffled. Concept
-    # ids are unique in the vocabulary, so the lookup has no more rows than the set measured here.
+    # One lookup of concept -> what the output needs. Concept ids are unique in the vocabulary, so the
+    # lookup has no more rows than the set measured here.
     wanted = members.select("concept_id", *carried)
     bound = measure(wanted, more_bytes_per_row=_NAME_BYTES if names else 0)
     standard = cdm.table("concept").filter(F.col("standard_concept") == "S").select("concept_id", *names)
     lookup = standard.join(wanted.distinct(), "concept_id")
-    facts = lookup_join(domain_events(cdm, domains), lookup, "concept_id", measured=bound)
-    hits = _within_windows(facts, cohort, acute_lookback, chronic_lookback)
+    hits = _search(
+        domain_events(cdm, domains), lookup, "concept_id", bound, cohort, acute_lookback, chronic_lookback
+    )
 
     kept = _kept(cohort)
     window = ["person_start_date", "person_end_date"]
@@ -219,10 +230,10 @@ def find_events_by_source_code(
     for more in codes[1:]:
         stacked = stacked.unionByName(more.select("code", "deficit"))
     wanted = stacked.select(F.col("code").alias("source_value"), "deficit").distinct()
-    facts = lookup_join(domain_events(cdm, domains, source_values=True), wanted, "source_value")
+    facts = domain_events(cdm, domains, source_values=True)
     kept = _kept(cohort)
     found = (
-        _within_windows(facts, cohort, 1, 1)
+        _search(facts, wanted, "source_value", measure(wanted), cohort, 1, 1)
         .select(
             "person_id",
             *kept,

@@ -3,6 +3,7 @@
 import pytest
 
 from conftest import day, rows
+from frailscope.functions.joins import BROADCAST_CONF
 from frailscope.operators import events
 
 STANDARD = [(1, "S"), (2, "S"), (3, "S"), (9, None)]
@@ -127,6 +128,21 @@ def test_one_person_with_most_events(spark, make_cdm, cohort, both_joins):
     assert events.find_events(cdm, people, concepts, "category").count() == 4
 
 
+@pytest.mark.parametrize("limit, first", [("100000", "concept_id"), ("150", "person_id")])
+def test_the_broadcast_side_is_joined_first(spark, make_cdm, cohort, limit, first):
+    """With few people and a larger concept set the people cut the facts before the concept join."""
+    cdm = make_cdm(STANDARD, condition=[(7, 1, "2018-06-01"), (7, 2, "2018-06-01"), (7, 3, "2020-06-01"), (8, 1, "2020-06-01")])
+    concepts = members(spark, ("Chronic", 1, 1.0, 1), ("Acute", 2, 1.0, 0), ("Acute", 3, 1.0, 0))
+    spark.conf.set(BROADCAST_CONF, limit)
+    try:
+        found = events.find_events(cdm, cohort((7, "2020-01-01", "2021-01-01")), concepts, "category", chronic_lookback=3)
+        assert rows(found, "category", "person_start_date") == [("Acute", day("2020-01-01")), ("Chronic", day("2018-01-01"))]
+        joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+        assert (first == "concept_id") == ("person_id" in joins[0])
+    finally:
+        spark.conf.unset(BROADCAST_CONF)
+
+
 def test_source_code_search(spark, make_cdm, cohort, both_joins):
     cdm = make_cdm(
         STANDARD,
