@@ -108,8 +108,10 @@ class Inputs:
         """Diagnosis and procedure codes of the index, as two lists (code, deficit)."""
         coded = self.table("concept").join(self.vafi, "concept_id")
         return [
-            coded.filter(F.col("vocabulary_id") == v).select(F.col("concept_code").alias("code"), F.col("category").alias("deficit"))
-            for v in ("ICD10CM", "CPT4")
+            coded.filter(F.col("vocabulary_id") == vocabulary).select(
+                F.col("concept_code").alias("code"), F.col("category").alias("deficit")
+            )
+            for vocabulary in ("ICD10CM", "CPT4")
         ]
 
     @cached_property

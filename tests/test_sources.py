@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day, rows
+from conftest import day
 from frailscope.functions.joins import BROADCAST_CONF, SALT_CONF
 from frailscope.functions.quantiles import exact_quantiles
 from frailscope.operators import events
