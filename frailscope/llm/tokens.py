@@ -29,6 +29,8 @@ _FOLDED_VALUES = _BYTE_VALUES.copy()
 _FOLDED_VALUES[65:91] = _BYTE_VALUES[97:123]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Marks every ASCII character but letters and digits, for matching that ignores punctuation.
+PUNCTUATION_BREAKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _POSITION_FACTORS = _rng.integers(1 << 62, 1 << 64, 64, dtype=_U) | _U(1)
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
@@ -101,9 +103,10 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words_of(text: Text, fold: bool = True) -> Words:
+def words_of(text: Text, fold: bool = True, breaks: np.ndarray = _IS_SPACE) -> Words:
+    """The words between the bytes marked in ``breaks``, by default white space."""
     data, bounds = text
-    inside = ~_IS_SPACE[data]
+    inside = ~breaks[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     edges = bounds[:-1][bounds[:-1] < len(data)]
