@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frailscope.llm import decontamination, minhash
+from frailscope.llm import decontamination, minhash, pieces
 from frailscope.sources.scratch import scratch_folder
 
 
@@ -24,8 +24,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, with the scores of its best segmentations and the round trip's result."""
+    return pieces.encode(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("decontaminate", decontaminate)]
+STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
 
 # The trained models and the search for similar texts cannot be written as SQL.
 ORACLE_SQL: str | None = None

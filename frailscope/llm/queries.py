@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from frailscope.llm import decontamination, minhash
+from frailscope.llm import decontamination, minhash, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,14 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+    scores = F.array_join(F.transform("nbest_scores", lambda x: x.cast("decimal(38,3)").cast("string")), ",")
+    return found.withColumn("nbest_scores", scores)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op3_minhash_near_duplicates]
+    found = [op1_benchmark_decontamination, op3_minhash_near_duplicates, op10_sentencepiece_n_best]
     return {f.__name__: f for f in found}
 
 
