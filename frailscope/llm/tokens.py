@@ -168,6 +168,38 @@ def segments(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+def gather(values: np.ndarray, start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``start``, end to end."""
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    return values[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], counts)]
+
+
+class Remembered:
+    """Rows of numbers computed once per hash; all are forgotten when there are more than ``most``."""
+
+    def __init__(self, width: int, most: int = 2_000_000) -> None:
+        self.width, self.most = width, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.rows = np.zeros(0, _U), np.zeros((0, self.width))
+
+    def look_up(self, hashes: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Rows for distinct ascending ``hashes``; ``compute`` gets the indexes of the new ones."""
+        if len(self.hashes) > self.most:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self.rows = np.insert(self.rows, at[new], compute(new), axis=0)
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            at = np.searchsorted(self.hashes, hashes)
+        return self.rows[at]
+
+
 def pieces_of(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` of text, so that numpy buffers stay small."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
