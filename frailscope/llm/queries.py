@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frailscope.llm import decontamination, minhash, pieces, toxicity
+from frailscope.llm import decontamination, minhash, pieces, quality_classifier, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op5_class_conditional_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_additive_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(_table(spark, sf_dir, "documents"), with_ids=False)
     scores = F.array_join(F.transform("nbest_scores", lambda x: x.cast("decimal(38,3)").cast("string")), ",")
@@ -34,7 +39,7 @@ def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op3_minhash_near_duplicates, op5_class_conditional_toxicity, op10_sentencepiece_n_best]
+    found = [op1_benchmark_decontamination, op3_minhash_near_duplicates, op5_class_conditional_toxicity, op6_additive_quality_classifier, op10_sentencepiece_n_best]
     return {f.__name__: f for f in found}
 
 
