@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frailscope.llm import decontamination, minhash, pieces, quality_classifier, toxicity
+from frailscope.llm import decontamination, minhash, oracle, pieces, quality_classifier, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_divergence_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,9 @@ def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op3_minhash_near_duplicates, op5_class_conditional_toxicity, op6_additive_quality_classifier, op10_sentencepiece_n_best]
+    found = [op1_benchmark_decontamination, op2_divergence_quality_rules, op3_minhash_near_duplicates, op5_class_conditional_toxicity, op6_additive_quality_classifier, op10_sentencepiece_n_best]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
