@@ -22,10 +22,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         edges = store(_to_smallest(both, larger_only=True), "stars")
         edges = store(_to_smallest(edges, larger_only=False), "stars")
-        state = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        # Finished when each node has one edge and nothing moved.
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
@@ -47,4 +44,5 @@ def _to_smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
     else:
         own = smallest.select("u", F.col("least").alias("v"))
         moved = joined.select(F.col("v").alias("u"), F.col("least").alias("v")).union(own)
-    return moved.filter("u <> v").distinct()
+    moved = moved.filter("u <> v")
+    return moved if larger_only else moved.distinct()

@@ -5,11 +5,13 @@ its smallest hash, and an empty bin borrows from the first filled bin of its own
 (optimal densification). Four bins make a band, 32 bands make the bucket keys. Two documents with a
 Jaccard similarity of 0.75 share no bucket with a probability of about 5 in a million.
 
-Documents with equal shingle sets are one class and are compared once. In each bucket the smallest
-class is the centre of a star; a class is first compared with the smallest centre of its buckets.
-Buckets whose classes are still in different components are then given 16, 256, ... centres until
-every such pair has been compared, so no link is lost to the stars and no pair that is already
-connected is compared again. Every link is confirmed on the full shingle sets.
+Documents with equal shingle sets are one class, compared once. The centre of a bucket is its class
+with the most company over all buckets, and the bucket is a star around it. A class is compared
+with one pivot, the centre it shares most buckets with; that joins most of a group. What is left
+are classes that stand apart from others in a bucket. They are compared with the bucket's
+other components, unless the sizes or the common part with the same pivot prove that the pair
+cannot be similar enough. So the stars bound the number of pairs without losing a link, and every
+link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frailscope.functions.joins import fits_broadcast
 from frailscope.llm.components import connected_components
-from frailscope.llm.tokens import grams, map_text, mix, pieces_of, signed, text_bytes, words_of
+from frailscope.llm.tokens import grams, map_text, mix, pieces_of, segments, signed, text_bytes, words_of
 from frailscope.sources.scratch import store
 
 SHINGLE_WORDS = 5
@@ -73,24 +76,24 @@ def one_permutation(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_prints(hashes: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    """A fingerprint of each text's set."""
+    marks = mix(hashes ^ (_ROW_FACTORS[0, salt] << np.uint64(1)))
+    return mix(segments(marks, first))
+
+
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
     hashes, first = shingle_sets(batch)
     counts = np.diff(first)
-    filled = np.flatnonzero(counts)
     rows = one_permutation(hashes, first).reshape(-1, _BANDS, ROWS_PER_BAND)
     keys = mix((rows * _ROW_FACTORS).sum(axis=2, dtype=np.uint64))
     bounds = np.concatenate([[0], np.cumsum((counts > 0) * _BANDS)]).astype(np.int32)
-    prints = []
-    for salt in (1, 2):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))))])
-        prints.append(mix(sums[first[1:]] - sums[first[:-1]]))
-    assert len(rows) == len(filled)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id"),
             pa.array(counts),
-            signed(prints[0]),
-            signed(prints[1]),
+            signed(set_prints(hashes, first, 1)),
+            signed(set_prints(hashes, first, 2)),
             pa.ListArray.from_arrays(pa.array(bounds), signed(keys.ravel())),
         ],
         ["doc_id", "n_shingles", "print_a", "print_b", "keys"],
@@ -107,7 +110,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and are linked with nothing. A row without a doc_id
     cannot be named in a link: its component_id is null and it is kept. Rows that repeat a doc_id
-    belong to the same document: with different texts they join both texts' groups.
+    are judged by the text of each.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = store(
@@ -119,20 +122,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = store(
         named.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "classes"
     )
-    # A document whose rows have different texts is in several classes; their representatives differ
-    # from it or are itself, and the links below tie them together.
-    several = (
-        named.groupBy("doc_id")
-        .agg(F.min(F.struct(*prints)).alias("x"), F.max(F.struct(*prints)).alias("y"))
-        .filter("x <> y")
-        .select("doc_id")
-    )
-    members = store(
-        named.join(several, "doc_id", "left_semi").join(classes.drop("keys"), prints).select("doc_id", "rep"), "several"
-    )
-    ties = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = _links(plain, classes, ties)
-    components = connected_components(links)
+    components = connected_components(_links(plain, classes))
     labels = store(
         classes.select(*prints, "rep")
         .join(components.withColumnRenamed("node", "rep"), "rep", "left")
@@ -149,64 +139,92 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between class representatives, enough to connect all that are linked."""
-    entries = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
-    live = store(entries.join(shared.select("key"), "key"), "live")
-
-    sizes = classes.select("rep", F.col("n_shingles").alias("n")).distinct()
-    centres = live.groupBy("key").agg(F.min("rep").alias("a"))
-    centres = store(centres.join(sizes.toDF("a", "n_a"), "a"), "centres")
-    first = _near(live.join(centres, "key")).groupBy("b").agg(F.min("a").alias("a"))
-    tested = store(first.select("a", "b"), "tested")
-    links = store(_confirm(docs, tested).union(ties), "confirmed")
-
-    centres_per_bucket = 16
-    while True:
-        components = connected_components(links)
-        placed = live.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        placed = store(placed, "placed")
-        mixed = store(
-            placed.groupBy("key")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-            .filter("lo < hi")
-            .select("key", "size"),
-            "mixed",
-        )
-        most = mixed.agg(F.max("size")).first()[0]
-        if most is None:
-            return links
-        order = Window.partitionBy("key").orderBy("rep")
-        open_rows = store(placed.join(mixed.select("key"), "key"), "open")
-        stars = store(
-            open_rows.withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= centres_per_bucket)
-            .select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a")),
-            "stars",
-        )
-        pairs = _near(open_rows.join(stars, "key").filter("component <> component_a")).distinct()
-        fresh = store(pairs.join(tested, ["a", "b"], "left_anti"), "fresh")
-        tested = store(tested.union(fresh), "tested")
-        links = store(links.union(_confirm(docs, fresh)), "confirmed")
-        if most - 1 <= centres_per_bucket:
-            return links
-        centres_per_bucket *= 16
-
-
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with a < b whose set sizes alone do not rule the similarity out."""
-    close = F.lit(100) * F.least("n", "n_a") >= F.lit(SIMILAR_PERCENT) * F.greatest("n", "n_a")
-    return pairs.filter((F.col("a") < F.col("rep")) & close).select("a", F.col("rep").alias("b"))
-
-
-def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough.
-
-    The pairs of one centre are dealt over as many blocks as they need at 64 members each. A block
-    gets one copy of the centre's text, and sorting puts it before the members, which then stream by.
+    entries = classes.select(
+        "rep", "print_a", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")
+    )
+    shared = (
+        entries.groupBy("key")
+        .agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("size"))
+        .filter("lo < hi")
+        .select("key", "size")
+    )
+    live = store(entries.join(shared, "key"), "live")
+
+    company = live.groupBy("rep", "print_a", "n").agg(F.sum("size").alias("company"))
+    company = store(company, "company")
+    texts = _texts(docs, company)
+    live = store(live.drop("print_a", "n", "size").join(company, "rep"), "known")
+    centre = F.max(F.struct("company", (-F.col("rep")).alias("minus_rep"), F.col("n").alias("n_a")))
+    centres = live.groupBy("key").agg(centre.alias("centre")).select(
+        "key", (-F.col("centre.minus_rep")).alias("a"), F.col("centre.n_a").alias("n_a"), F.col("centre.company").alias("of")
+    )
+    stars = live.join(store(centres, "centres"), "key").filter((F.col("a") != F.col("rep")) & _near("n", "n_a"))
+    pivots = (
+        stars.groupBy("rep", "a", "of")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .groupBy(F.col("rep").alias("b"))
+        .agg(F.max(F.struct("times", "of", (-F.col("a")).alias("minus_a"))).alias("best"))
+        .select((-F.col("best.minus_a")).alias("a"), "b")
+    )
+    first = store(_compare(texts, store(pivots, "pivots")), "first")
+    links = first.filter("linked").select("a", "b")
+
+    # What stands apart in a bucket: members outside its largest component.
+    components = connected_components(links).withColumnRenamed("node", "rep")
+    pivoted = first.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "common")
+    placed = live.select("key", "rep", "n").join(components, "rep", "left").join(pivoted, "rep", "left")
+    placed = store(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
+    largest = (
+        placed.groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .groupBy("key")
+        .agg(F.max(F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+        .filter("parts > 1")
+        .select("key", F.col("largest.component").alias("largest"))
+    )
+    mixed = store(placed.join(largest, "key"), "mixed")
+    apart = mixed.filter("component <> largest").select(
+        "key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "pivot", "common"))
+    )
+    new = F.expr(
+        "component <> component_a and (component = largest or rep < rep_a)"
+        " and not (rep <=> pivot_a) and not (rep_a <=> pivot)"
+    )
+    # Of two sets with known parts inside one third set, at most this much can be common.
+    most = F.least("common", "common_a") + F.least(F.col("n") - F.col("common"), F.col("n_a") - F.col("common_a"))
+    possible = F.coalesce((F.col("pivot") != F.col("pivot_a")) | _similar(most, "n", "n_a"), F.lit(True))
+    fresh = mixed.join(apart, "key").filter(new & _near("n", "n_a") & possible)
+    fresh = store(fresh.select(F.col("rep_a").alias("a"), F.col("rep").alias("b")).distinct(), "fresh")
+    if fresh.isEmpty():
+        return links
+    return links.union(_compare(texts, fresh).filter("linked").select("a", "b"))
+
+
+def _similar(common: Column, n_a: str, n_b: str) -> Column:
+    return F.lit(100) * common >= F.lit(SIMILAR_PERCENT) * (F.col(n_a) + F.col(n_b) - common)
+
+
+def _near(n_a: str, n_b: str) -> Column:
+    """The set sizes alone do not rule the similarity out."""
+    return F.lit(100) * F.least(n_a, n_b) >= F.lit(SIMILAR_PERCENT) * F.greatest(n_a, n_b)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the class representatives (rep, print_a) that share a bucket with another class.
+
+    Their ids are broadcast only if they are few enough; otherwise the texts are shuffled once.
+    """
+    ids = wanted.select(F.col("rep").alias("doc_id"), "print_a")
+    return store(docs.join(F.broadcast(ids) if fits_broadcast(ids) else ids, "doc_id"), "texts")
+
+
+def _compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, common, linked) for the pairs (a, b), from the full shingle sets.
+
+    The pairs of one ``a`` are dealt over as many blocks as they need at 64 members each. A block
+    gets one copy of the text of ``a``, and sorting puts it before the members, which then stream by.
     """
     load = store(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load")), "load")
     blocks = F.ceil(F.col("load") / F.lit(_MEMBERS_PER_COPY)).cast("int")
@@ -216,27 +234,41 @@ def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     copies = load.select(
         F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("role")
     )
-    parts = store(members.union(copies), "parts")
-    wanted = docs.join(parts, "doc_id").repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    wanted = texts.join(store(members.union(copies), "parts"), "doc_id")
+    wanted = wanted.repartition("a", "block").sortWithinPartitions("a", "block", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, centre_sets = None, []
+        block, centre = None, None
         for batch in batches:
             for part in pieces_of(batch):
                 hashes, first = shingle_sets(part)
-                a, number, role, b = (part.column(c).to_numpy() for c in ("a", "block", "role", "doc_id"))
-                good = np.zeros(part.num_rows, bool)
+                prints = set_prints(hashes, first, 1).view(np.int64)
+                a, number, role, b, wanted_print = (
+                    part.column(c).to_numpy() for c in ("a", "block", "role", "doc_id", "print_a")
+                )
+                rows, common, linked = [], [], []
                 for i in range(part.num_rows):
+                    if prints[i] != wanted_print[i]:
+                        continue  # another text under the same id
                     own = hashes[first[i] : first[i + 1]]
-                    if (a[i], number[i]) != block:
-                        block, centre_sets = (a[i], number[i]), []
                     if role[i] == 0:
-                        centre_sets.append(own)
-                        continue
-                    for centre in centre_sets:
-                        common = len(np.intersect1d(own, centre, assume_unique=True))
-                        if 100 * common >= SIMILAR_PERCENT * (len(own) + len(centre) - common) > 0:
-                            good[i] = True
-                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
-
-    return wanted.mapInArrow(compare, "a long, b long").distinct()
+                        block, centre = (a[i], number[i]), own
+                    elif (a[i], number[i]) == block:
+                        both = np.concatenate([own, centre])
+                        both.sort()
+                        same = int(np.count_nonzero(both[1:] == both[:-1]))
+                        rows.append(i)
+                        common.append(same)
+                        linked.append(100 * same >= SIMILAR_PERCENT * (len(own) + len(centre) - same))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(a[rows], pa.int64()),
+                        pa.array(b[rows], pa.int64()),
+                        pa.array(common, pa.int64()),
+                        pa.array(linked, pa.bool_()),
+                    ],
+                    ["a", "b", "common", "linked"],
+                )
+
+    found = wanted.mapInArrow(compare, "a long, b long, common long, linked boolean")
+    return found.dropDuplicates(["a", "b"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from frailscope.llm import quality_rules as rules
+from frailscope.llm import secret_scan as secrets
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -62,5 +63,46 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM j"""
 
 
+def _secret_scan() -> str:
+    patterns = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.LONG_HEX, "token": secrets.TOKEN}
+    parts = []
+    for order, (kind, pattern) in enumerate(patterns.items()):
+        quoted = pattern.replace("'", "''")
+        value = f"regexp_extract(m, '^(?:{quoted})$', 2)" if kind == "assign" else "m"
+        parts.append(
+            f"SELECT r, '{kind}' AS kind, {order} AS o, s AS start, s + length(m) AS stop, {value} AS value FROM ("
+            "SELECT r, m, sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS s FROM ("
+            f"SELECT r, unnest(ms) AS m, unnest(gaps) AS gap, unnest(range(len(ms))) AS i FROM ("
+            f"SELECT r, regexp_extract_all(t, '{quoted}') AS ms,"
+            f" regexp_split_to_array(t, '{quoted}')[1:len(regexp_extract_all(t, '{quoted}'))] AS gaps FROM d)))"
+            f" WHERE length({value}) >= {secrets.LEAST[kind]}"
+        )
+    union = " UNION ALL ".join(parts)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+a AS ({union}),
+base AS (SELECT * FROM a WHERE kind <> 'token'),
+tok AS (SELECT * FROM a WHERE kind = 'token' AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+  AND regexp_matches(value, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.start < a.stop AND a.start < b.stop)),
+c AS (SELECT x.*, coalesce(d.source, '') AS owner FROM (SELECT * FROM base UNION ALL SELECT * FROM tok) x JOIN d USING (r)),
+own AS (SELECT value, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AS live FROM c GROUP BY value),
+k AS (SELECT c.*, live, kind || ':' || start || ':' || stop AS shown FROM c JOIN own USING (value)),
+s AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+    count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(shown, ',' ORDER BY start, o, stop) FILTER (WHERE kind <> 'token') AS base,
+    string_agg(shown, ',' ORDER BY start, o, stop) FILTER (WHERE kind <> 'token' OR live) AS spans,
+    count(*) FILTER (WHERE kind = 'token' AND live) AS n_added, count(*) FILTER (WHERE live) AS n_live,
+    count(*) FILTER (WHERE NOT live) AS n_examples FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_added, 0)::BIGINT AS n_added, coalesce(n_live, 0)::BIGINT AS n_live,
+  coalesce(n_examples, 0)::BIGINT AS n_examples
+FROM d LEFT JOIN s USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence_quality_rules": _quality_rules()}
+    return {
+        "op2_divergence_quality_rules": _quality_rules(),
+        "op9_ownership_secret_scan": _secret_scan(),
+    }
