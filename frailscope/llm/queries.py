@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frailscope.llm import decontamination, minhash, oracle, pieces, quality_classifier, quality_rules, secret_scan, toxicity
+from frailscope.llm import (
+    decontamination,
+    language_model,
+    minhash,
+    oracle,
+    pieces,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    toxicity,
+    url_filters,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +37,10 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_log_bilinear_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_class_conditional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -36,6 +51,10 @@ def op6_additive_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFra
     return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op9_ownership_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +66,17 @@ def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_benchmark_decontamination, op2_divergence_quality_rules, op3_minhash_near_duplicates, op5_class_conditional_toxicity, op6_additive_quality_classifier, op9_ownership_secret_scan, op10_sentencepiece_n_best]
+    found = [
+        op1_benchmark_decontamination,
+        op2_divergence_quality_rules,
+        op3_minhash_near_duplicates,
+        op4_log_bilinear_language_model,
+        op5_class_conditional_toxicity,
+        op6_additive_quality_classifier,
+        op8_link_graph_url_filter,
+        op9_ownership_secret_scan,
+        op10_sentencepiece_n_best,
+    ]
     return {f.__name__: f for f in found}
 
 
