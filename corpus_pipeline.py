@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frailscope.llm import decontamination, minhash, pieces, quality_classifier
+from frailscope.llm import decontamination, line_dedup, minhash, pieces, quality_classifier
 from frailscope.sources.scratch import scratch_folder
 
 
@@ -18,6 +18,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(docs, model)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and documents that have no line left."""
+    found = line_dedup.dedup_lines(docs)
+    return found.filter((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines"))).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
     found = minhash.near_duplicates(docs)
@@ -36,7 +42,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
 
 # The trained models and the search for similar texts cannot be written as SQL.
 ORACLE_SQL: str | None = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from frailscope.llm import (
     decontamination,
     language_model,
+    line_dedup,
     minhash,
     oracle,
     pieces,
@@ -51,6 +52,12 @@ def op6_additive_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFra
     return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return found.select("doc_id", "n_lines", "n_deleted", text.alias("text_sha256"))
+
+
 def op8_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(_table(spark, sf_dir, "pages"))
 
@@ -73,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_log_bilinear_language_model,
         op5_class_conditional_toxicity,
         op6_additive_quality_classifier,
+        op7_suffix_array_line_dedup,
         op8_link_graph_url_filter,
         op9_ownership_secret_scan,
         op10_sentencepiece_n_best,
