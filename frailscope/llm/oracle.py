@@ -68,10 +68,12 @@ def _line_dedup() -> str:
     least = line_dedup.MIN_WORDS
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-a AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS at FROM d),
-l AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY at) AS i,
-    len(regexp_extract_all(line, '[^ 	-]+')) AS words
-  FROM a WHERE regexp_matches(line, '[^ 	-]')),
+a AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY pos) AS i,
+    len(regexp_extract_all(line, '[^ 	-
+]+')) AS words
+  FROM a WHERE regexp_matches(line, '[^ 	-
+]')),
 c AS (SELECT *, sum(words) OVER (PARTITION BY r ORDER BY i) AS stop FROM l),
 s AS (SELECT x.r, x.i AS first, min(y.i) AS last FROM c x JOIN c y ON x.r = y.r AND y.i BETWEEN x.i AND x.i + {least} - 1
     AND y.stop - x.stop + x.words >= {least} GROUP BY ALL
@@ -81,10 +83,11 @@ s AS (SELECT x.r, x.i AS first, min(y.i) AS last FROM c x JOIN c y ON x.r = y.r
 n AS (SELECT s.r, s.first, s.last, any_value(c.doc_id) AS doc_id, string_agg(line, chr(10) ORDER BY i) AS run
   FROM s JOIN c ON c.r = s.r AND c.i BETWEEN s.first AND s.last GROUP BY s.r, s.first, s.last),
 f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS copy FROM n),
-g AS (SELECT DISTINCT c.r, c.at FROM f JOIN c ON c.r = f.r AND c.i BETWEEN f.first AND f.last WHERE copy > 1),
-k AS (SELECT a.r, string_agg(line, chr(10) ORDER BY a.at) FILTER (WHERE g.r IS NULL) AS kept, count(g.r) AS n_deleted,
-    count(*) FILTER (WHERE regexp_matches(line, '[^ 	-]')) AS n_lines
-  FROM a LEFT JOIN g ON g.r = a.r AND g.at = a.at GROUP BY a.r)
+g AS (SELECT DISTINCT c.r, c.pos FROM f JOIN c ON c.r = f.r AND c.i BETWEEN f.first AND f.last WHERE copy > 1),
+k AS (SELECT a.r, string_agg(line, chr(10) ORDER BY a.pos) FILTER (WHERE g.r IS NULL) AS kept, count(g.r) AS n_deleted,
+    count(*) FILTER (WHERE regexp_matches(line, '[^ 	-
+]')) AS n_lines
+  FROM a LEFT JOIN g ON g.r = a.r AND g.pos = a.pos GROUP BY a.r)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted,
   sha256(coalesce(kept, '')) AS text_sha256
 FROM d LEFT JOIN k USING (r)"""
