@@ -5,6 +5,7 @@ from __future__ import annotations
 from frailscope.llm import line_dedup
 from frailscope.llm import quality_rules as rules
 from frailscope.llm import secret_scan as secrets
+from frailscope.llm import url_filters as urls
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -131,9 +132,60 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN s USING (r)"""
 
 
+def _spread(name: str, links: str, seeds: str) -> str:
+    """The ranks ``name`` (host, rank), each round written out."""
+    parts = [
+        f"{name}_s AS (SELECT host, count(*)::DOUBLE / sum(count(*)) OVER () AS start FROM p WHERE own = '{seeds}' AND host <> '' GROUP BY host)",
+        f"{name}_l AS (SELECT source, target, links::DOUBLE / sum(links) OVER (PARTITION BY source) AS share FROM ({links}))",
+        f"{name}_0 AS (SELECT host, start AS rank FROM {name}_s)",
+    ]
+    for i in range(urls.ROUNDS):
+        parts.append(
+            f"{name}_{i + 1} AS (SELECT coalesce(m.host, s.host) AS host,"
+            f" {urls.DAMPING} * coalesce(moved, 0) + {1 - urls.DAMPING} * coalesce(start, 0) AS rank"
+            f" FROM (SELECT target AS host, sum(rank * share) AS moved FROM {name}_{i} JOIN {name}_l ON host = source GROUP BY target) m"
+            f" FULL JOIN {name}_s s ON m.host = s.host)"
+        )
+    parts.append(f"{name} AS (SELECT host, rank / sum(rank) OVER () AS rank FROM {name}_{urls.ROUNDS})")
+    return ",\n".join(parts)
+
+
+def _url_filter() -> str:
+    fits = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN "
+        for r in sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
+    ]
+    rules = sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
+    name = " ".join(f"{f}'{r.name}'" for f, r in zip(fits, rules, strict=True))
+    own = " ".join(f"{f}'{r.verdict}'" for f, r in zip(fits, rules, strict=True))
+    lower = f"translate({{}}, '{urls._LETTERS[0]}', '{urls._LETTERS[1]}')"
+    host = "coalesce(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), '')"
+    href = urls._HREF.replace("'", "''")
+    forward, back = "SELECT source, target, links FROM links", "SELECT target AS source, source AS target, links FROM links"
+    return rf"""
+WITH u AS (SELECT page_id, html, {lower.format(host.format("url"))} AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS (SELECT *, CASE {name} END AS rule, CASE {own} END AS own FROM u),
+hosts AS (SELECT DISTINCT host FROM p WHERE host <> ''),
+h AS (SELECT host AS source, {lower.format(host.format("x"))} AS target
+  FROM (SELECT host, unnest(regexp_extract_all(html, '{href}', 1)) AS x FROM p WHERE host <> '')),
+links AS (SELECT source, target, sum(n) AS links FROM (
+    SELECT source, target, count(*) AS n FROM h WHERE target <> '' AND source <> target GROUP BY ALL
+    UNION ALL
+    SELECT a.host, b.host, 1 FROM hosts a JOIN hosts b ON regexp_extract(a.host, '^[^.]+\.(.+)$', 1) = b.host) GROUP BY ALL),
+{_spread("trust", forward, "allow")},
+{_spread("distrust", back, "block")},
+j AS (SELECT p.*, round(coalesce(t.rank, 0), 9) AS trust, round(coalesce(d.rank, 0), 9) AS distrust
+  FROM p LEFT JOIN trust t USING (host) LEFT JOIN distrust d USING (host))
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust > {urls.MIN_DISTRUST} AND distrust > trust THEN 'block'
+  ELSE 'allow' END) AS verdict, trust, distrust
+FROM j"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_divergence_quality_rules": _quality_rules(),
         "op7_suffix_array_line_dedup": _line_dedup(),
+        "op8_link_graph_url_filter": _url_filter(),
         "op9_ownership_secret_scan": _secret_scan(),
     }
