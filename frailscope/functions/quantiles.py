@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from frailscope.functions.joins import null_safe_join
+
 _BUCKETS_PER_OCTAVE = 32
 
 
@@ -38,7 +40,7 @@ def exact_quantiles(
         F.sum("_in_bucket").over(group).alias("_n"),
     )
     within = W.partitionBy(*keys, "_bucket").orderBy("_v")
-    ranked = histogram.join(starts, [*keys, "_bucket"]).select(
+    ranked = null_safe_join(histogram, starts, [*keys, "_bucket"], "inner").select(
         *keys,
         "_v",
         "_n",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frailscope.functions.joins import null_safe_join
 from frailscope.operators.summaries import STRATA
 
 
@@ -78,5 +79,5 @@ def compare_runs(
     new: DataFrame, old: DataFrame, by: Sequence[str] = STRATA, skip: Sequence[str] = ("n",)
 ) -> DataFrame:
     """Two summaries of the same layout as (strata, measure name, type new/old, value)."""
-    pairs = summary_rows(new, by, "new").join(summary_rows(old, by, "old"), [*by, "name"], "left")
+    pairs = null_safe_join(summary_rows(new, by, "new"), summary_rows(old, by, "old"), [*by, "name"])
     return pairs.filter(~F.col("name").isin(*skip)).unpivot([*by, "name"], ["new", "old"], "type", "value")

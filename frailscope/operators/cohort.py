@@ -89,11 +89,13 @@ def derive_strata(
     lookback_years: int = 1,
     drop_null_strata: bool = False,
 ) -> DataFrame:
-    """Sex flag, age band (NULL outside the breaks) and the start of the lookback window."""
+    """Sex flag (NULL if unknown), age band (NULL outside the breaks) and the start of the lookback window."""
     age = f"(CASE WHEN yob_imputed = 1 THEN {IMPUTED_AGE} ELSE age END)"
     out = cohort.select(
         "person_id",
-        F.when(F.col("gender_concept_id") == MALE, 0).otherwise(1).alias("is_female"),
+        F.when(F.col("gender_concept_id") == MALE, 0)
+        .when(F.col("gender_concept_id").isNotNull(), 1)
+        .alias("is_female"),
         band(age, breaks).alias("age_group"),
         years_before(F.col("index_date"), lookback_years).alias("visit_lookback_date"),
         "index_date",

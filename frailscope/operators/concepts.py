@@ -73,9 +73,12 @@ def unify_concept_sets(sources: Sequence[IndexSource]) -> DataFrame:
 def attach_lookback(concepts: DataFrame, lookbacks: DataFrame, chronic_years: int = 3) -> DataFrame:
     """Add lookback years per (fi, category) and the flag ``chronic`` (1 for the long lookback).
 
-    A category without a lookback keeps NULL years and counts as acute.
+    A category without a lookback keeps NULL years and counts as acute. Index names are compared
+    without regard to case, as in :func:`concept_set`.
     """
-    joined = lookup_join(concepts, lookbacks.select("fi", "category", "lookback"), ["fi", "category"], "left")
+    years = lookbacks.select(F.lower("fi").alias("_fi"), "category", "lookback")
+    named = concepts.withColumn("_fi", F.lower("fi"))
+    joined = lookup_join(named, years, ["_fi", "category"], "left").select(*concepts.columns, "lookback")
     return joined.withColumn("chronic", F.when(F.col("lookback") == chronic_years, 1).otherwise(0))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frailscope.functions.dates import days_between
+from frailscope.functions.joins import null_safe_join
 from frailscope.functions.quantiles import exact_quantiles
 
 # The quantiles of the published rate tables.
@@ -37,4 +38,4 @@ def rate_distribution(rates: DataFrame) -> DataFrame:
     """
     rate = "event_per_year"
     moments = rates.groupBy("category").agg(F.avg(rate).alias("avg"), F.stddev_samp(rate).alias("std"))
-    return moments.join(exact_quantiles(rates, ["category"], rate, RATE_QUANTILES), "category")
+    return null_safe_join(moments, exact_quantiles(rates, ["category"], rate, RATE_QUANTILES), ["category"], "inner")

@@ -112,7 +112,9 @@ def suppress_small_cells(
     if mode == "zero":
         shown = F.when(small, 0).otherwise(F.col(count)).cast(df.schema[count].dataType)
     elif mode == "label":
-        shown = F.when(small, F.lit(f"<{threshold}")).otherwise(F.col(count).cast("long").cast("string"))
+        value = F.col(count)
+        whole = F.when(value == F.floor(value), value.cast("long").cast("string"))
+        shown = F.when(small, F.lit(f"<{threshold}")).otherwise(F.coalesce(whole, value.cast("string")))
     else:
         raise ValueError("mode must be 'zero' or 'label'")
     return df.withColumns({share: hidden_share, count: shown})

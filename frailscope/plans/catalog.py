@@ -15,7 +15,8 @@ from frailscope.operators import agreement, concepts, events, polypharmacy, rate
 from frailscope.operators import cohort as people
 from frailscope.plans.frailty import IndexSpec, build_cohort, frailty_study, index_events
 from frailscope.session import tune
-from frailscope.sources.cdm import OmopCdm, checkpoint_table, read_codes, scratch_folder, store, write_summary
+from frailscope.sources.cdm import OmopCdm, checkpoint_table, read_codes, write_summary
+from frailscope.sources.scratch import scratch_folder, store
 from frailscope.sources.fixtures import FixtureCdm
 
 SEED = "42"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings. Skewed join partitions are split even when that costs one more
@@ -32,6 +34,7 @@ def local_session(app_name: str = "frailscope", cpus: int | str = "*", shuffle_p
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"{os.getcwd()}/spark-warehouse/_scratch")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_CONF.items():

@@ -1,9 +1,7 @@
-"""Reading OMOP tables and code lists, storing intermediate results, writing summaries."""
+"""Reading OMOP tables and code lists, storing tables, writing summaries."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,25 +47,6 @@ class OmopCdm:
         return df
 
 
-_local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A folder for this application below the shared ``spark.checkpoint.dir``.
-
-    Only a local session may go without that setting; it gets a temporary folder of its own.
-    """
-    application = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/frailscope-{application}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if application not in _local_scratch:
-        _local_scratch[application] = tempfile.TemporaryDirectory(prefix="frailscope-")
-    return _local_scratch[application].name
-
-
 def checkpoint_table(df: DataFrame, name: str, schema: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table, replacing an older one, and go on from the stored rows.
 
@@ -86,15 +65,6 @@ def checkpoint_table(df: DataFrame, name: str, schema: str | None = None, path:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``checkpoint_table`` under a fresh name in the scratch folder of the application.
-
-    The rows live on shared storage: they survive the loss of executors, and nothing computed
-    before them is computed again.
-    """
-    return checkpoint_table(df, f"{name}-{uuid.uuid4().hex}", path=scratch_folder(df.sparkSession))
-
-
 def bucket_by_person(df: DataFrame, name: str, schema: str, buckets: int, sort_by: str | None = None) -> DataFrame:
     """Store a clinical table bucketed by person, so that repeated person joins need no shuffle."""
     writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, "person_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,29 +106,20 @@ class FixtureCdm(OmopCdm):
             (key - key % 10).alias("ancestor_concept_id"), key.alias("descendant_concept_id")
         )
 
-    def clinical_events(self, domains: Sequence[str], source_values: bool) -> DataFrame:
-        """All domains in one scan: here they share a table, so four scans would read it four times."""
-        kind = F.lit(None).cast("string")
-        for domain in domains:
-            kind = F.when(F.col("l_linenumber").isin(*_DOMAIN_LINES[domain]), domain).otherwise(kind)
-        wanted = [n for domain in domains for n in _DOMAIN_LINES[domain]]
-        lines = self.raw("lineitem").filter(F.col("l_linenumber").isin(*wanted))
+    def _clinical(self, domain: str) -> DataFrame:
+        columns = DOMAINS[domain]
+        lines = self.raw("lineitem").filter(F.col("l_linenumber").isin(*_DOMAIN_LINES[domain]))
         people = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"))
         rows = lines.join(people, "l_orderkey").select(
             F.col("o_custkey").alias("person_id"),
             F.col("l_partkey").alias("concept_id"),
             F.col("l_shipdate").cast("date").alias("start_date"),
-            kind.alias("domain"),
         )
-        if not source_values:
-            return rows
-        codes = self.table("concept").select("concept_id", F.col("concept_code").alias("source_value"))
-        return rows.join(codes, "concept_id").select("person_id", "concept_id", "start_date", "domain", "source_value")
-
-    def _clinical(self, domain: str) -> DataFrame:
-        columns = DOMAINS[domain]
+        if self._source_values:
+            codes = self.table("concept").select("concept_id", F.col("concept_code").alias("source_value"))
+            rows = rows.join(codes, "concept_id")
         names = {"concept_id": columns.concept, "start_date": columns.date, "source_value": columns.source}
-        return self.clinical_events([domain], self._source_values).drop("domain").withColumnsRenamed(names)
+        return rows.withColumnsRenamed(names)
 
     def _condition_occurrence(self) -> DataFrame:
         return self._clinical("condition")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    Where that is unset, it lies below the warehouse folder, which is shared as well, and the
-    setting is filled in, so that every later step agrees on it.
+    Only a session on one machine may leave that unset; it gets a folder below its warehouse.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/frailscope-{spark.sparkContext.applicationId}"
 
 
@@ -30,6 +30,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def store_and_measure(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Row]:
+    """:func:`store`, and aggregates of the rows that were gathered while they were written."""
+    seen = Observation()
+    stored = store(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+    return stored, Row(**seen.get)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's stored intermediates; results that still read them become invalid."""
     jvm = spark.sparkContext._jvm

@@ -7,8 +7,6 @@ from conftest import DATA, rows
 from frailscope.operators import concepts, events
 from frailscope.plans.catalog import CHRONIC_3, ONE_YEAR, SEED, Inputs
 from frailscope.plans.frailty import build_cohort
-from frailscope.sources.cdm import OmopCdm
-from frailscope.sources.fixtures import FixtureCdm
 
 COUNTS = {
     "person": 150,
@@ -64,20 +62,6 @@ def test_flagship_with_repeated_people(small, spec, event_rows, people, classes)
     assert tuple(got) == classes
 
 
-def test_domain_tables_and_single_scan_agree(spark, small):
-    """The four clinical tables give the same events as the fixture's single scan."""
-    source = FixtureCdm(spark, f"{DATA}/sf0.001", source_values=True)
-    names = [d.table for d in events.DOMAINS.values()] + ["concept"]
-    plain = OmopCdm(spark, tables={n: source.table(n) for n in names})
-    for output in events.OUTPUTS:
-        one = events.find_events(source, small.windows, small.vafi, output)
-        four = events.find_events(plain, small.windows, small.vafi, output)
-        assert rows(one) == rows(four)
-    assert rows(events.find_events_by_source_code(source, small.windows, small.code_lists)) == rows(
-        events.find_events_by_source_code(plain, small.windows, small.code_lists)
-    )
-
-
 def test_same_seed_same_visits_whatever_the_layout(spark, small):
     from frailscope.operators.cohort import random_index_visit
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from conftest import day
 from frailscope.functions.joins import BROADCAST_CONF, SALT_CONF
 from frailscope.functions.quantiles import exact_quantiles
 from frailscope.operators import events
-from frailscope.sources import cdm
+from frailscope.sources import cdm, scratch
 
 
 @pytest.fixture
@@ -77,13 +79,21 @@ def test_checkpoint_needs_one_place(spark, folder):
         cdm.checkpoint_table(spark.range(1), "x", schema="a", path=folder)
 
 
-def test_store_cuts_the_lineage_and_uses_the_shared_folder(spark):
-    stored = cdm.store(spark.range(10), "numbers")
-    assert stored.count() == 10
-    place = cdm.scratch_folder(spark)
-    assert all(place in path for path in stored.inputFiles())
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared is None or place.startswith(shared)
+def test_every_store_lands_in_the_shared_folder(spark):
+    stored = scratch.store(spark.range(10), "numbers")
+    measured, seen = scratch.store_and_measure(spark.range(7), "more", rows=F.count(F.lit(1)))
+    assert (stored.count(), measured.count(), seen["rows"]) == (10, 7, 7)
+    place = scratch.scratch_folder(spark)
+    assert place.startswith(spark.conf.get("spark.checkpoint.dir") + "/")
+    assert all(place in path for path in [*stored.inputFiles(), *measured.inputFiles()])
+
+
+def test_stored_tables_can_be_cleared(spark, folder, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_folder", lambda spark: f"{folder}/own")
+    scratch.store(spark.range(3), "numbers")
+    assert Path(folder, "own").exists()
+    scratch.clear_scratch(spark)
+    assert not Path(folder, "own").exists()
 
 
 def test_csv_round_trip(spark, folder):
