@@ -88,13 +88,13 @@ def standard_concepts(concept: DataFrame, concepts: DataFrame, mode: str = "join
     ``join`` keeps the ``chronic`` flag of the set (a concept in an acute and a chronic category
     gives two rows); ``in`` only tests membership.
     """
-    names = concept.filter(F.col("standard_concept") == "S").select("concept_id", "concept_name").distinct()
+    names = concept.filter(F.col("standard_concept") == "S").select("concept_id", "concept_name")
     if mode == "in":
-        return lookup_join(names, concepts.select("concept_id").distinct(), "concept_id", "left_semi")
+        return lookup_join(names, concepts.select("concept_id").distinct(), "concept_id", "left_semi").distinct()
     if mode != "join":
         raise ValueError("mode must be 'join' or 'in'")
     flags = [c for c in ("chronic",) if c in concepts.columns]
-    return lookup_join(names, concepts.select("concept_id", *flags).distinct(), "concept_id")
+    return lookup_join(names, concepts.select("concept_id", *flags).distinct(), "concept_id").distinct()
 
 
 def _literal_prefix(pattern: Column) -> Column:

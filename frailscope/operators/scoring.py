@@ -81,7 +81,13 @@ def fi_by_person(
     )
     wanted = search if rejoin else search.select(search_person_id).distinct()
     seen = F.col("found_ehr").isNotNull()
-    scores = null_safe_join(wanted, scored.select(search_person_id, "fi", "found_ehr"), [search_person_id]).withColumns(
+    found = scored.select(search_person_id, "fi", "found_ehr")
+    # Without the search rows both sides have a row per person and are dealt by person already; no
+    # event has a NULL person, so a NULL one among the searched finds nothing either way.
+    joined = (
+        null_safe_join(wanted, found, [search_person_id]) if rejoin else wanted.join(found, search_person_id, "left")
+    )
+    scores = joined.withColumns(
         {"fi": F.when(seen, F.col("fi")).otherwise(0.0), "found_ehr": F.when(seen, 1).otherwise(0)}
     )
     if not rejoin:

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frailscope.functions.joins import lookup_join
+from frailscope.functions.strata import AGE_BREAKS
 from frailscope.operators import agreement, concepts, events, polypharmacy, rates, scoring, summaries
 from frailscope.operators import cohort as people
 from frailscope.plans.frailty import IndexSpec, build_cohort, frailty_study, index_events
 from frailscope.session import tune
 from frailscope.sources.cdm import OmopCdm, checkpoint_table, read_codes, write_summary
-from frailscope.sources.scratch import scratch_folder, store
 from frailscope.sources.fixtures import FixtureCdm
+from frailscope.sources.scratch import scratch_folder, store
 
 SEED = "42"
 ONE_YEAR = IndexSpec("vafi", 25, 0.12, 0.24)
@@ -490,6 +491,14 @@ def frailty_summary_all_periods(q: Inputs):
     return q.study(ONE_YEAR, dedupe=False).summary()
 
 
+@query
+def frailty_summary_to_age_120(q: Inputs):
+    """The same with the band set whose last band ends at 120, for a longer washout."""
+    breaks = (*AGE_BREAKS[:-1], 120)
+    study = frailty_study(q.cdm, q.fi_indices, ONE_YEAR, SEED, q.table("lookbacks"), min_days=730, min_age=45, breaks=breaks)
+    return study.summary()
+
+
 @query
 def frailty_summary_chronic_lookback(q: Inputs):
     return q.study(CHRONIC_3).summary()

@@ -127,13 +127,24 @@ def frailty_study(
     lookbacks: DataFrame | None = None,
     dedupe: bool = True,
     cohort: DataFrame | None = None,
+    min_days: int = 365,
+    min_age: int = 40,
+    breaks: Sequence[int] = AGE_BREAKS,
+    ids: DataFrame | None = None,
+    keep: Sequence[str] = ("age_group", "is_female"),
 ) -> Study:
     """Run cohort and event search once, store both, and score everyone.
 
+    ``min_days``, ``min_age``, ``breaks`` and ``ids`` shape the cohort, unless a ``cohort`` is given;
+    ``keep`` names its columns that events and scores carry.
+
     The stored tables are small next to the clinical ones. Everything after the event search reads
     them, so the clinical tables are scanned once.
     """
-    people = store(build_cohort(cdm, seed, dedupe=dedupe), "cohort") if cohort is None else cohort
-    events = store(index_events(cdm, fi_indices, people, spec, lookbacks), f"{spec.name}-events")
-    scores = fi_with_robust(events, people, spec.denominator, spec.lb, spec.ub)
+    if cohort is None:
+        people = store(build_cohort(cdm, seed, min_days, min_age, breaks, dedupe, ids), "cohort")
+    else:
+        people = cohort
+    events = store(index_events(cdm, fi_indices, people, spec, lookbacks, keep), f"{spec.name}-events")
+    scores = fi_with_robust(events, people, spec.denominator, spec.lb, spec.ub, keep)
     return Study(spec, people, events, scores, dedupe)

@@ -490,6 +490,10 @@ FROM cohort k LEFT JOIN by_person b ON b.person_id = k.person_id""",
         ),
         # summaries
         "frailty_summary": _frailty(),
+        "frailty_summary_to_age_120": _frailty()
+        .replace(">= 365 AND", ">= 730 AND")
+        .replace(">= 40),", ">= 45),")
+        .replace("BETWEEN 80 AND 100 THEN '[80,100]'", "BETWEEN 80 AND 120 THEN '[80,120]'"),
         "frailty_summary_all_periods": _frailty("cohort_all"),
         "frailty_summary_chronic_lookback": _frailty(chronic=3),
         "frailty_summary_chronic_lookback_all_periods": _frailty("cohort_all", chronic=3),
