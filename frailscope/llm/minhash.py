@@ -34,6 +34,21 @@ ROWS_PER_BAND = 4
 SIMILAR_PERCENT = 75
 _MEMBERS_PER_COPY = 64
 
+# How a set differs from its pivot: the common part, what the pivot has beyond it, and for the two
+# differences the occupied ones of 1024 bins (16 longs each) and the elements beyond one per bin.
+_LONGS = 16
+_BITS = [f"{side}_{i}" for side in ("extra", "lack") for i in range(_LONGS)]
+_BOUND_COLUMNS = ["common", "lacking", "extra_more", "lack_more", *_BITS]
+# Two sets with the same pivot have no more in common than this: of the pivot what neither lacks, and
+# of their own elements at most one per bin that both occupy and those beyond one per bin.
+_MOST_COMMON = (
+    "least(common, common_a) + least(n - common, n_a - common_a, least(extra_more, extra_more_a) + "
+    + " + ".join(f"bit_count(extra_{i} & extra_{i}_a)" for i in range(_LONGS))
+    + ") - greatest(0, greatest(lack_more, lack_more_a) + "
+    + " + ".join(f"bit_count(lack_{i} | lack_{i}_a)" for i in range(_LONGS))
+    + " - greatest(lacking, lacking_a))"
+)
+
 _rng = np.random.default_rng(7)
 _PROBES = np.array([_rng.permutation(BINS) for _ in range(BINS)])
 _BANDS = BINS // ROWS_PER_BAND
@@ -100,6 +115,13 @@ def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _occupied(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """(elements beyond one per bin, occupied bins as longs)."""
+    bins = np.zeros(64 * _LONGS, bool)
+    bins[(hashes & np.uint64(64 * _LONGS - 1)).astype(np.int64)] = True
+    return len(hashes) - int(bins.sum()), np.packbits(bins, bitorder="little").view(np.int64)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for the rows of ``docs`` (doc_id, text, ...).
 
@@ -173,7 +195,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     # What stands apart in a bucket: members outside its largest component.
     components = connected_components(links).withColumnRenamed("node", "rep")
-    pivoted = first.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "common")
+    pivoted = first.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), *_BOUND_COLUMNS)
     placed = live.select("key", "rep", "n").join(components, "rep", "left").join(pivoted, "rep", "left")
     placed = store(placed.withColumn("component", F.coalesce("component", "rep")), "placed")
     largest = (
@@ -186,14 +208,13 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     mixed = store(placed.join(largest, "key"), "mixed")
     apart = mixed.filter("component <> largest").select(
-        "key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "pivot", "common"))
+        "key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "pivot", *_BOUND_COLUMNS))
     )
     new = F.expr(
         "component <> component_a and (component = largest or rep < rep_a)"
         " and not (rep <=> pivot_a) and not (rep_a <=> pivot)"
     )
-    # Of two sets with known parts inside one third set, at most this much can be common.
-    most = F.least("common", "common_a") + F.least(F.col("n") - F.col("common"), F.col("n_a") - F.col("common_a"))
+    most = F.expr(_MOST_COMMON)
     possible = F.coalesce((F.col("pivot") != F.col("pivot_a")) | _similar(most, "n", "n_a"), F.lit(True))
     fresh = mixed.join(apart, "key").filter(new & _near("n", "n_a") & possible)
     fresh = store(fresh.select(F.col("rep_a").alias("a"), F.col("rep").alias("b")).distinct(), "fresh")
@@ -221,7 +242,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, common, linked) for the pairs (a, b), from the full shingle sets.
+    """(a, b, linked, how b differs from a) for the pairs (a, b), from the full shingle sets.
 
     The pairs of one ``a`` are dealt over as many blocks as they need at 64 members each. A block
     gets one copy of the text of ``a``, and sorting puts it before the members, which then stream by.
@@ -235,10 +256,10 @@ def _compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("role")
     )
     wanted = texts.join(store(members.union(copies), "parts"), "doc_id")
-    wanted = wanted.repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    wanted = wanted.repartition("a", "block").sortWithinPartitions("a", "block", "role", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, centre = None, None
+        block, centre, last = None, None, None
         for batch in batches:
             for part in pieces_of(batch):
                 hashes, first = shingle_sets(part)
@@ -246,29 +267,28 @@ def _compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 a, number, role, b, wanted_print = (
                     part.column(c).to_numpy() for c in ("a", "block", "role", "doc_id", "print_a")
                 )
-                rows, common, linked = [], [], []
+                rows, linked, bounds = [], [], []
                 for i in range(part.num_rows):
                     if prints[i] != wanted_print[i]:
                         continue  # another text under the same id
                     own = hashes[first[i] : first[i + 1]]
                     if role[i] == 0:
-                        block, centre = (a[i], number[i]), own
-                    elif (a[i], number[i]) == block:
-                        both = np.concatenate([own, centre])
-                        both.sort()
-                        same = int(np.count_nonzero(both[1:] == both[:-1]))
+                        block, centre, last = (a[i], number[i]), own, None
+                    elif (a[i], number[i]) == block and b[i] != last:
+                        last = b[i]  # a repeated row would follow at once
+                        at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                        shared = centre[at] == own
+                        lacked = np.ones(len(centre), bool)
+                        lacked[at[shared]] = False
+                        same = int(np.count_nonzero(shared))
+                        extra, lack = _occupied(own[~shared]), _occupied(centre[lacked])
                         rows.append(i)
-                        common.append(same)
                         linked.append(100 * same >= SIMILAR_PERCENT * (len(own) + len(centre) - same))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(a[rows], pa.int64()),
-                        pa.array(b[rows], pa.int64()),
-                        pa.array(common, pa.int64()),
-                        pa.array(linked, pa.bool_()),
-                    ],
-                    ["a", "b", "common", "linked"],
-                )
-
-    found = wanted.mapInArrow(compare, "a long, b long, common long, linked boolean")
-    return found.dropDuplicates(["a", "b"])
+                        bounds.append([same, len(centre) - same, extra[0], lack[0], *extra[1], *lack[1]])
+                values = np.array(bounds, np.int64).reshape(len(rows), len(_BOUND_COLUMNS))
+                arrays = [pa.array(a[rows], pa.int64()), pa.array(b[rows], pa.int64()), pa.array(linked, pa.bool_())]
+                arrays += [pa.array(values[:, j]) for j in range(values.shape[1])]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "linked", *_BOUND_COLUMNS])
+
+    bounds_schema = ", ".join(f"{c} long" for c in _BOUND_COLUMNS)
+    return wanted.mapInArrow(compare, f"a long, b long, linked boolean, {bounds_schema}")
