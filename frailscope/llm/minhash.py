@@ -7,11 +7,11 @@ Jaccard similarity of 0.75 share no bucket with a probability of about 5 in a mi
 
 Documents with equal shingle sets are one class, compared once. The centre of a bucket is its class
 with the most company over all buckets, and the bucket is a star around it. A class is compared
-with one pivot, the centre it shares most buckets with; that joins most of a group. What is left
-are classes that stand apart from others in a bucket. They are compared with the bucket's
-other components, unless the sizes or the common part with the same pivot prove that the pair
-cannot be similar enough. So the stars bound the number of pairs without losing a link, and every
-link is confirmed on the full shingle sets.
+with one pivot, the centre of its buckets with the most company; so a group has nearly always one
+pivot, and most of the group is joined to it. What is left are classes that stand apart from
+others in a bucket. They are compared with the bucket's other components, unless the sizes, or how
+both sets differ from the same pivot, prove that the pair cannot be similar enough. So the stars
+bound the number of pairs without losing a link, and every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -184,10 +184,8 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     stars = live.join(store(centres, "centres"), "key").filter((F.col("a") != F.col("rep")) & _near("n", "n_a"))
     pivots = (
-        stars.groupBy("rep", "a", "of")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .groupBy(F.col("rep").alias("b"))
-        .agg(F.max(F.struct("times", "of", (-F.col("a")).alias("minus_a"))).alias("best"))
+        stars.groupBy(F.col("rep").alias("b"))
+        .agg(F.max(F.struct("of", (-F.col("a")).alias("minus_a"))).alias("best"))
         .select((-F.col("best.minus_a")).alias("a"), "b")
     )
     first = store(_compare(texts, store(pivots, "pivots")), "first")
