@@ -3,7 +3,8 @@
 Pages that a rule allows or blocks are the seeds. Trust starts at the hosts of allowed pages and
 flows along links, as a PageRank that always restarts at those hosts. Distrust starts at the hosts
 of blocked pages and flows against the links, to those that point there. A host is blocked if its
-distrust is above a threshold and above its trust; pages that no rule fits get that verdict.
+distrust is above its trust and above a fixed share of what a host of blocked pages starts with on
+average, so the size of the graph does not matter; pages that no rule fits get that verdict.
 
 Links are those between different hosts in the pages, counted once per pair of hosts and weighted by
 number, and a link from each host to its parent domain if that is a host as well.
@@ -40,6 +41,7 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 12
 MIN_DISTRUST = 0.001
+_EQUAL = 1e-9
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HREF = "(?i)href\\s*=\\s*[\"']?([A-Za-z][A-Za-z0-9+.-]*://[^\"'\\s>]+)"
 
@@ -113,7 +115,7 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
 
     A null url, or one without ``://``, has an empty host and path; no rule fits it, it takes no
     part in the graph, and it is allowed. A null html has no links. ``trust`` and ``distrust`` are
-    the ranks of the page's host, rounded to nine digits. Rows are judged one by one; a repeated
+    the ranks of the page's host, rounded to nine digits after the verdict. Rows are judged one by one; a repeated
     row weighs twice as a seed.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
@@ -131,8 +133,12 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     distrust = spread(back, seeds("block"), rounds).withColumnRenamed("rank", "distrust")
     scores = store(trust.join(distrust, "host", "full"), "scores")
     judged = known.join(scores, "host", "left").withColumns(
-        {c: F.round(F.coalesce(c, F.lit(0.0)), 9) for c in ("trust", "distrust")}
+        {c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")}
     )
-    bad = (F.col("distrust") > MIN_DISTRUST) & (F.col("distrust") > F.col("trust"))
+    # The ranks sum to one over all hosts, so they are held against the mean start of a seed, before
+    # they are rounded. Sums of another order do not make equal ranks differ.
+    seed_hosts = known.filter((F.col("own") == "block") & (F.col("host") != "")).select("host").distinct().count()
+    bad = (F.col("distrust") * seed_hosts > MIN_DISTRUST) & (F.col("distrust") > F.col("trust") * (1 + _EQUAL))
     verdict = F.coalesce("own", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+    rounded = (F.round(c, 9).alias(c) for c in ("trust", "distrust"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), *rounded)

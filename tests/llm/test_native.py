@@ -164,6 +164,30 @@ def test_distrust_flows_against_links(spark):
     assert found[4]["trust"] > 0 and found[4]["distrust"] > 0 == found[5]["distrust"]
 
 
+def test_verdicts_do_not_depend_on_the_size_of_the_graph(spark):
+    """A small graph, and 2,000 disjoint copies of it."""
+
+    def copies(n):
+        return [
+            (4 * i + k, url.format(i), html and html.format(i))
+            for i in range(n)
+            for k, (url, html) in enumerate(
+                [
+                    ("http://bad{}.com/de/1", None),
+                    ("http://feeder{}.net/1", "<a href='http://bad{}.com/de/1'>"),
+                    ("http://good{}.org/1", "<a href='http://neighbour{}.net/'>"),
+                    ("http://neighbour{}.net/1", "<a href='/own'>"),
+                ]
+            )
+        ]
+
+    for n in (1, 2000):
+        found = url_filters.url_filter(pages(spark, copies(n))).collect()
+        verdicts = {(r["page_id"] % 4, r["verdict"]) for r in found}
+        assert len(found) == 4 * n
+        assert verdicts == {(0, "block"), (1, "block"), (2, "allow"), (3, "allow")}
+
+
 def test_ranks_are_those_of_power_iteration(spark):
     rng = np.random.default_rng(12)
     edges = {(int(a), int(b)): int(n) for a, b, n in rng.integers(0, 8, (20, 3)) + [0, 0, 1] if a != b}
