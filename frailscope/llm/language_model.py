@@ -3,7 +3,7 @@
 The corpus is counted first: every token of the training documents, in Spark. The most frequent
 words are classes of their own; all others fall into classes by their last two bytes, which tell
 languages and word forms apart. A second pass counts the sequences of three classes. They are the
-training data of the log-bilinear model: the vector of the next class is predicted as a sum of the
+training data of the log-bilinear model, which meets every one of them in each round: the vector of the next class is predicted as a sum of the
 vectors of the two before it, each scaled by its position. Training runs on the executors, each
 part of the sequences by itself, and the parameters are averaged between rounds. Noise-contrastive
 estimation needs no sums over all classes; scoring does them as matrix products over the distinct
@@ -44,6 +44,7 @@ PARTS = 8
 ROUNDS = 3
 BATCHES = 200
 BATCH = 512
+PART_ROWS = 100_000
 RATE = 0.15
 FREQUENT = 1 << 18
 
@@ -166,36 +167,42 @@ def _summed(classes: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def contrast(model: Model, codes: np.ndarray, weight: np.ndarray, noise: np.ndarray, seed: int, batches: int = BATCHES) -> Model:
-    """Noise-contrastive steps on class sequences drawn in proportion to ``weight``.
+    """Noise-contrastive steps in full passes over the class sequences, at least ``batches`` of them.
 
-    Each drawn class is told apart from NOISE classes drawn from ``noise``; steps are scaled by the
+    A pass visits every sequence, heavy ones in as many equal shares as keep a visit at the mean
+    weight or below, so there are at most two visits a sequence and each counts by its ``weight``.
+    Each visited class is told apart from NOISE classes drawn from ``noise``; steps are scaled by the
     root of the summed squared gradients.
     """
     rng = np.random.default_rng(seed)
     parameters = [p.copy() for p in model]
     context, target, scale, bias = parameters
     squares = [np.full(p.shape, 1e-3) for p in parameters]
-    chance = np.cumsum(weight) / weight.sum()
+    times = weight * (len(codes) / weight.sum())
+    visits = np.ceil(times).astype(np.int64)
+    spot, part = np.repeat(np.arange(len(codes)), visits), np.repeat(times / visits, visits)
+    order = rng.permutation(np.tile(np.arange(len(spot)), max(1, -(-batches * BATCH // len(spot)))))
     ladder = np.cumsum(noise)
     offset = np.log(NOISE * noise)
-    for _ in range(batches):
-        code = codes[np.minimum(np.searchsorted(chance, rng.random(BATCH)), len(codes) - 1)]
+    for start in range(0, len(order), BATCH):
+        visit = order[start : start + BATCH]
+        code, size = codes[spot[visit]], len(visit)
         before = np.stack([code >> 16, (code >> 8) & 255])
-        drawn = np.minimum(np.searchsorted(ladder, rng.random((BATCH, NOISE))), CLASSES - 1)
+        drawn = np.minimum(np.searchsorted(ladder, rng.random((size, NOISE))), CLASSES - 1)
         guess = np.concatenate([(code & 255)[:, None], drawn], axis=1)
         predicted = scale[0] * context[before[0]] + scale[1] * context[before[1]]
         vectors = target[guess]
         line = np.einsum("bkd,bd->bk", vectors, predicted) + bias[guess] - offset[guess]
         error = -1 / (1 + np.exp(-np.clip(line, -30, 30)))
         error[:, 0] += 1
-        error /= BATCH
+        error *= part[visit][:, None] / BATCH
         back = np.einsum("bk,bkd->bd", error, vectors)
         gradients = [np.zeros_like(p) for p in parameters]
         for i in (0, 1):
             gradients[0] += _summed(before[i], back * scale[i])
             gradients[2][i] = (back * context[before[i]]).sum(axis=0)
-        rows = np.repeat(np.arange(BATCH), NOISE + 1)
-        weights = np.bincount(guess.ravel() * BATCH + rows, error.ravel(), CLASSES * BATCH).reshape(CLASSES, BATCH)
+        rows = np.repeat(np.arange(size), NOISE + 1)
+        weights = np.bincount(guess.ravel() * size + rows, error.ravel(), CLASSES * size).reshape(CLASSES, size)
         gradients[1] = weights @ predicted
         gradients[3] = weights.sum(axis=1)
         for p, s, g in zip(parameters, squares, gradients, strict=True):
@@ -211,7 +218,7 @@ def _start() -> Model:
 
 
 def _improving(shared, noise: np.ndarray, seed: int):
-    """One round of training on one part of the sequences, of at most CLASSES ** 3 / PARTS rows."""
+    """One round of training on one part of the sequences, of about PART_ROWS rows at most."""
 
     def improve(table):
         codes, n = table.column("code").to_numpy(), table.column("n").to_numpy()
@@ -225,7 +232,10 @@ def _improving(shared, noise: np.ndarray, seed: int):
 
 
 def train(sequences: DataFrame) -> Model:
-    """The model of counted sequences (code, n), averaged over the parts after each round."""
+    """The model of counted sequences (code, n), averaged over the parts after each round.
+
+    There are as many parts as the sequences need at PART_ROWS each, PARTS at least.
+    """
     spark = sequences.sparkSession
     model = _start()
     target = F.col("code").bitwiseAND(F.lit(CLASSES - 1))
@@ -234,8 +244,9 @@ def train(sequences: DataFrame) -> Model:
         noise[row["c"]] += row["n"]
     noise /= noise.sum()
     model = model._replace(bias=np.log(noise))
-    parts = sequences.select(F.pmod(F.xxhash64("code"), F.lit(PARTS)).cast("int").alias("part"), "code", "n")
-    parts = store(parts.repartition(PARTS, "part").sortWithinPartitions("part", "code"), "parts")
+    n_parts = max(PARTS, -(-sequences.count() // PART_ROWS))
+    parts = sequences.select(F.pmod(F.xxhash64("code"), F.lit(n_parts)).cast("int").alias("part"), "code", "n")
+    parts = store(parts.repartition(n_parts, "part").sortWithinPartitions("part", "code"), "parts")
     shapes = [p.shape for p in model]
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)

@@ -57,6 +57,19 @@ def test_contrastive_training_learns_what_follows():
     assert (after > before).all() and after[0] > after[2]
 
 
+def test_contrastive_training_visits_every_sequence():
+    """Far more sequences than the fewest steps could draw: each context must still be met."""
+    pairs = np.arange(256 * 256)
+    codes = (pairs[:, None] << 8 | np.arange(1, 4)).ravel()
+    weight = np.where(np.arange(len(codes)) % 1000, 1.0, 1e3)
+    noise = np.ones(language_model.CLASSES) / language_model.CLASSES
+    start = language_model._start()
+    trained = language_model.contrast(start, codes, weight, noise, 1, batches=1)
+    assert (np.abs(trained.context - start.context).max(axis=1) > 0.1).all()
+    before, after = (language_model.class_log10(m, codes) for m in (start, trained))
+    assert (after > before).mean() > 0.99
+
+
 def tables(spark):
     return (spark.read.parquet(f"{DATA}/sf0.01/{name}.parquet") for name in ("documents", "labels"))
 
