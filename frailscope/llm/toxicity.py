@@ -9,8 +9,8 @@ word and its length. A logistic curve over these, fitted on documents that the m
 not seen, gives the probability.
 
 The models are fitted on a bounded sample of labelled documents: at most ``toxic_documents`` and
-``ordinary_documents``, those with the smallest hashes of their ids, and keep at most ``most_grams``
-byte sequences, the most frequent. The documents themselves are all scored, in full, in one pass.
+``ordinary_documents``, those with the smallest hashes of their ids. All their byte sequences count,
+also those seen once. The documents themselves are all scored, in full, in one pass.
 """
 
 from __future__ import annotations
@@ -219,7 +219,6 @@ def fit(
     labels: DataFrame,
     toxic_documents: int = 6_000,
     ordinary_documents: int = 12_000,
-    most_grams: int = 1_000_000,
 ) -> ToxicityModel | float:
     """The model of the labelled documents outside the held-out quarter; see the module's text.
 
@@ -239,7 +238,7 @@ def fit(
     texts = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", fold.alias("fold"))
     counted = map_text(texts, _count_grams, "gram long, context long, suffix long, kind long, n long")
     counted = counted.groupBy("gram", "context", "suffix", "kind").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "gram", "kind").limit(most_grams).toArrow()
+    found = counted.toArrow()  # bounded by the documents of the sample
     table = {c: found.column(c).to_numpy() for c in found.column_names}
     table |= {c: table[c].view(np.uint64) for c in ("gram", "context", "suffix")}
 

@@ -92,6 +92,19 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(r["predicted"] for r in unseen if not r["toxic"]) <= 0.05 * len(unseen)
 
 
+def test_rare_byte_sequences_count(spark):
+    """More sequences than a million, nearly all seen once, in few long documents."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    rows = [(i, " ".join("".join(x) for x in rng.choice(letters, (3000, 10)))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    trained = [w for i, t in rows if not held(i, 4, 2) for w in t.split()]
+    grams = {(" " + w)[max(0, k - n) : k] for w in trained for k in range(1, len(w) + 2) for n in range(1, 7)}
+    assert len(grams) > 1_000_000
+    assert len(model.kneser_ney.grams) == len(grams)
+
+
 def words(good, i):
     return f"the {'kind' if good else 'vile'} word number {i} of this text" + ("" if good else " $$$ ### vile vile")
 
