@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frailscope.llm import (
+    alignment,
     decontamination,
     language_model,
     line_dedup,
@@ -72,6 +73,10 @@ def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("nbest_scores", scores)
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer_alignment(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_benchmark_decontamination,
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_link_graph_url_filter,
         op9_ownership_secret_scan,
         op10_sentencepiece_n_best,
+        op13_cross_tokenizer_alignment,
     ]
     return {f.__name__: f for f in found}
 
