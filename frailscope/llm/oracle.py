@@ -182,10 +182,45 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust > {urls.MIN_D
 FROM j"""
 
 
+def _prefix_trie() -> str:
+    return r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+o AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, ts, conv_id - ((conv_id % 20) + 20) % 20 AS base,
+    xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+  FROM o, crc),
+b AS (
+  SELECT h.conv_id, list_concat(CASE WHEN f.ts IS NULL OR h = 0 THEN [] ELSE f.ts[1:h] END, h.ts[h + 1:]) AS ts
+  FROM h LEFT JOIN o f ON f.conv_id = h.base),
+p AS (SELECT conv_id, ts, len(ts) AS n, unnest(generate_series(0, len(ts))) AS depth FROM b),
+v AS (
+  SELECT depth, ts[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY ALL),
+c AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+k AS (
+  SELECT v.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth].x, '[^\x20\x09-\x0D]+')) END AS words
+  FROM v LEFT JOIN c USING (depth, path)),
+up AS (
+  SELECT path[1:d] AS path, d AS depth, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM k) GROUP BY ALL)
+SELECT k.conv_id, k.depth, a.conv_id AS parent_conv_id, k.n_convs, k.n_children, up.n_leaves::BIGINT AS n_leaves,
+  up.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN up ON up.depth = k.depth AND up.path = k.path
+LEFT JOIN k a ON a.depth = k.depth - 1 AND a.path = k.path[1:k.depth - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_divergence_quality_rules": _quality_rules(),
         "op7_suffix_array_line_dedup": _line_dedup(),
         "op8_link_graph_url_filter": _url_filter(),
         "op9_ownership_secret_scan": _secret_scan(),
+        "op11_conversation_prefix_trie": _prefix_trie(),
     }

@@ -15,6 +15,7 @@ from frailscope.llm import (
     minhash,
     oracle,
     pieces,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -73,6 +74,10 @@ def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("nbest_scores", scores)
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_tokenizer_alignment(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_link_graph_url_filter,
         op9_ownership_secret_scan,
         op10_sentencepiece_n_best,
+        op11_conversation_prefix_trie,
         op13_cross_tokenizer_alignment,
     ]
     return {f.__name__: f for f in found}

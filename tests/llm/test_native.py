@@ -210,7 +210,7 @@ def test_ranks_are_those_of_power_iteration(spark):
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/sf0.001/{table}.parquet'")
     df = entry.queries()[name](spark, f"{DATA}/sf0.001")
     result = con.execute(entry.oracle_sql()[name])
