@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from frailscope.llm import (
     alignment,
     decontamination,
+    html_text,
     language_model,
     line_dedup,
     minhash,
@@ -78,6 +79,10 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_host_suffix_array_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_tokenizer_alignment(_table(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_ownership_secret_scan,
         op10_sentencepiece_n_best,
         op11_conversation_prefix_trie,
+        op12_host_suffix_array_html,
         op13_cross_tokenizer_alignment,
     ]
     return {f.__name__: f for f in found}
