@@ -106,6 +106,80 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def brute_components(rows):
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, w in ((i, folded_words(t)) for i, t in rows) if w]
+    component = {i: i for i, _ in sets}
+    index = {}
+    for i, own in sets:
+        for j in {j for gram in own for j in index.get(gram, ())}:
+            other = sets[j][1]
+            if 100 * len(own & other) >= 75 * len(own | other):
+                old, new = component[i], component[sets[j][0]]
+                component = {k: min(old, new) if c in (old, new) else c for k, c in component.items()}
+        for gram in own:
+            index.setdefault(gram, []).append([k for k, (x, _) in enumerate(sets) if x == i][0])
+    return component
+
+
+def template_rows(rng, n, copies):
+    """Documents that share a template, each with own words in it, and ``copies`` near copies of some of them."""
+    base = [f"t{k}" for k in range(200)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.choice(200, 8, replace=False):
+            own[k] = f"own{i}x{k}"
+        rows.append((len(rows), " ".join(own)))
+        if i < copies:
+            for _ in range(2):
+                rows.append((len(rows), mutated(rng, own, 2)))
+    return rows
+
+
+def test_copies_inside_a_group_that_shares_a_template(spark):
+    rng = np.random.default_rng(21)
+    rows = template_rows(rng, 300, 60)
+    expected = brute_components(rows)
+    assert len(set(expected.values())) == 300
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert found == expected
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), every_pair=True).collect()}
+    assert found == expected
+
+
+def test_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    made = []
+    fresh = minhash._fresh
+
+    def counted(pairs, compared):
+        made.append(pairs.count())
+        return fresh(pairs, compared)
+
+    monkeypatch.setattr(minhash, "_fresh", counted)
+    sizes = []
+    for n in (150, 300, 600):
+        made.clear()
+        rows = template_rows(np.random.default_rng(22), n, 0)
+        minhash.near_duplicates(frame(spark, rows)).collect()
+        sizes.append(sum(made))
+    assert sizes[2] < 600 * minhash._BANDS and sizes[2] < 2.5 * sizes[1] < 6 * sizes[0]
+
+
+def test_repeated_ids_and_rows_without_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (None, b), (4, "alone here"), (4, "alone here"), (None, None), (None, None)]
+    found = sorted(((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=repr)
+    assert found == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)] + [(None, None)] * 4, key=repr)
+    docs = frame(spark, rows)
+    kept = minhash.without_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, a), (1, b), (4, "alone here"), (None, None), (None, None)], key=repr
+    )
+    nameless = frame(spark, [(None, a), (None, a), (None, a + " x"), (None, b)])
+    assert sorted(r["text"][:2] for r in minhash.without_copies(nameless).collect()) == ["a0", "b0"]
+
+
 def test_bound_on_common_parts_holds():
     """The SQL bound, evaluated in Python, is never below the true common part."""
     rng = np.random.default_rng(8)
