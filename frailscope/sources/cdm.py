@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from frailscope.schemas import TABLES, require_columns
+from frailscope.sources.scratch import Folders
+
+# Where the old rows wait while the new ones take their place.
+_REPLACED = "__replaced"
 
 
 class OmopCdm:
@@ -47,31 +52,92 @@ class OmopCdm:
         return df
 
 
+def _replace_table(df: DataFrame, full_name: str, write: Callable[[str], None]) -> DataFrame:
+    """Let ``write`` store rows under a fresh catalog name, then put them in the place of ``full_name``."""
+    spark = df.sparkSession
+    restore_table(spark, full_name)
+    fresh, replaced = f"{full_name}__new_{uuid.uuid4().hex}", f"{full_name}{_REPLACED}"
+    try:
+        write(fresh)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    if spark.catalog.tableExists(full_name):
+        spark.sql(f"DROP TABLE IF EXISTS {replaced}")
+        spark.sql(f"ALTER TABLE {full_name} RENAME TO {replaced}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {full_name}")
+    spark.sql(f"DROP TABLE IF EXISTS {replaced}")
+    return spark.table(full_name)
+
+
+def restore_table(spark: SparkSession, full_name: str) -> bool:
+    """Put back the old rows of a catalog table whose replacement was cut off between its two renames."""
+    replaced = f"{full_name}{_REPLACED}"
+    if spark.catalog.tableExists(full_name) or not spark.catalog.tableExists(replaced):
+        return False
+    spark.sql(f"ALTER TABLE {replaced} RENAME TO {full_name}")
+    return True
+
+
+def _replace_folder(spark: SparkSession, target: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a fresh folder beside ``target``, then put it in its place."""
+    restore_folder(spark, target)
+    files = Folders(spark)
+    parent, _, name = target.rpartition("/")
+    fresh, replaced = f"{parent}/_new-{name}-{uuid.uuid4().hex}", f"{parent}/{_REPLACED}-{name}"
+    try:
+        write(fresh)
+    except BaseException:
+        files.delete(fresh)
+        raise
+    if files.exists(target):
+        files.delete(replaced)
+        files.rename(target, replaced)
+    files.rename(fresh, target)
+    files.delete(replaced)
+    spark.catalog.refreshByPath(target)
+
+
+def restore_folder(spark: SparkSession, target: str) -> bool:
+    """Put back the old folder whose replacement was cut off between its two renames."""
+    files = Folders(spark)
+    parent, _, name = target.rstrip("/").rpartition("/")
+    replaced = f"{parent}/{_REPLACED}-{name}"
+    if files.exists(target) or not files.exists(replaced):
+        return False
+    files.rename(replaced, target)
+    return True
+
+
 def checkpoint_table(df: DataFrame, name: str, schema: str | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table, replacing an older one, and go on from the stored rows.
 
     With ``schema`` the table goes to the catalog, with ``path`` to a parquet folder below it.
-    The new rows are written completely before an old catalog table is replaced, so a table may
-    be rebuilt from itself only under a new name.
+    The new rows are written completely under a fresh name beside the old ones, and take their place by
+    two renames. So a write that fails leaves the old rows as they are, and a table may be rebuilt from
+    itself. What is lost between the renames, the next call or :func:`restore_table` and
+    :func:`restore_folder` put back. Two writers of one table must not run at a time. DataFrames that
+    still read the old rows become invalid.
     """
     if (schema is None) == (path is None):
         raise ValueError("give either a schema or a path")
     spark = df.sparkSession
     if schema is not None:
-        df.write.mode("overwrite").format("parquet").saveAsTable(f"{schema}.{name}")
-        return spark.table(f"{schema}.{name}")
+        return _replace_table(df, f"{schema}.{name}", lambda to: df.write.format("parquet").saveAsTable(to))
     target = f"{path.rstrip('/')}/{name}"
-    df.write.mode("overwrite").parquet(target)
+    _replace_folder(spark, target, lambda to: df.write.parquet(to))
     return spark.read.schema(df.schema).parquet(target)
 
 
 def bucket_by_person(df: DataFrame, name: str, schema: str, buckets: int, sort_by: str | None = None) -> DataFrame:
-    """Store a clinical table bucketed by person, so that repeated person joins need no shuffle."""
-    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, "person_id")
+    """Store a clinical table bucketed by person, so that repeated person joins need no shuffle.
+
+    An older table is replaced as by :func:`checkpoint_table`.
+    """
+    writer = df.write.format("parquet").bucketBy(buckets, "person_id")
     if sort_by is not None:
         writer = writer.sortBy("person_id", sort_by)
-    writer.saveAsTable(f"{schema}.{name}")
-    return df.sparkSession.table(f"{schema}.{name}")
+    return _replace_table(df, f"{schema}.{name}", writer.saveAsTable)
 
 
 def read_codes(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -83,9 +149,9 @@ def write_summary(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> Non
     """Write a final summary as one CSV file with a header.
 
     For aggregated results only: the rows end up in one file. They are gathered by a shuffle, so
-    everything before it keeps its parallelism.
+    everything before it keeps its parallelism. An older file is replaced as by :func:`checkpoint_table`.
     """
     one = df.repartition(1)
     if order_by:
         one = one.sortWithinPartitions(*order_by)
-    one.write.mode("overwrite").csv(path, header=True)
+    _replace_folder(df.sparkSession, path.rstrip("/"), lambda to: one.write.csv(to, header=True))

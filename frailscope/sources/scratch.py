@@ -3,10 +3,43 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 
+_scope: ContextVar[str] = ContextVar("scratch_scope", default="")
+
+
+class Folders:
+    """Folders on any file system that Spark can reach."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, folder: str):
+        path = self._path(folder)
+        return path.getFileSystem(self._conf), path
+
+    def exists(self, folder: str) -> bool:
+        system, path = self._at(folder)
+        return system.exists(path)
+
+    def rename(self, folder: str, to: str) -> None:
+        system, path = self._at(folder)
+        if not system.rename(path, self._path(to)):
+            raise OSError(f"could not rename {folder} to {to}")
+
+    def delete(self, folder: str) -> None:
+        """Also of a folder that is not there."""
+        system, path = self._at(folder)
+        if system.exists(path) and not system.delete(path, True):
+            raise OSError(f"could not delete {folder}")
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
@@ -25,7 +58,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
     The rows survive the loss of executors, and nothing computed before them is computed again.
     """
-    target = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    target = f"{scratch_folder(df.sparkSession)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
@@ -37,8 +70,18 @@ def store_and_measure(df: DataFrame, name: str, **measures: Column) -> tuple[Dat
     return stored, Row(**seen.get)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was stored inside; write results that read it elsewhere before that."""
+    own = _scope.set(f"{_scope.get()}/scope-{uuid.uuid4().hex}")
+    folder = f"{scratch_folder(spark)}{_scope.get()}"
+    try:
+        yield
+    finally:
+        _scope.reset(own)
+        Folders(spark).delete(folder)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's stored intermediates; results that still read them become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    Folders(spark).delete(scratch_folder(spark))

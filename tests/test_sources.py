@@ -96,6 +96,101 @@ def test_stored_tables_can_be_cleared(spark, folder, monkeypatch):
     assert not Path(folder, "own").exists()
 
 
+def test_a_scope_deletes_what_it_stored(spark, folder, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_folder", lambda spark: f"{folder}/own")
+    outer = scratch.store(spark.range(4), "outer")
+    with scratch.scratch_scope(spark):
+        inner = scratch.store(spark.range(3), "inner")
+        with scratch.scratch_scope(spark):
+            scratch.store(inner, "innermost")
+        inner.write.parquet(f"{folder}/kept")
+    assert outer.count() == 4 and spark.read.parquet(f"{folder}/kept").count() == 3
+    assert len(list(Path(folder, "own").iterdir())) == 1
+    with pytest.raises(ZeroDivisionError), scratch.scratch_scope(spark):
+        scratch.store(spark.range(3), "lost")
+        raise ZeroDivisionError
+    assert len(list(Path(folder, "own").iterdir())) == 1
+
+
+def broken(df):
+    """Rows of ``df``, and a failure in the last of several tasks."""
+    return df.repartition(4).select(*df.columns).union(
+        df.limit(1).select(*(F.raise_error(F.lit("broken")).cast(t).alias(c) for c, t in df.dtypes))
+    )
+
+
+def test_a_failed_write_leaves_the_old_rows(spark, tmp_path):
+    """In the catalog, below a path, and as CSV; nothing is left behind."""
+    old = spark.createDataFrame([(k, f"n{k}") for k in range(20)], "n long, name string")
+    new = broken(spark.createDataFrame([(k, f"x{k}") for k in range(9)], old.schema))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS frailscope_atomic LOCATION '{tmp_path}/db'")
+    try:
+        cdm.checkpoint_table(old, "t", schema="frailscope_atomic")
+        cdm.checkpoint_table(old, "t", path=f"{tmp_path}/tables")
+        cdm.write_summary(old, f"{tmp_path}/csv/t")
+        with pytest.raises(Exception, match="broken"):
+            cdm.checkpoint_table(new, "t", schema="frailscope_atomic")
+        with pytest.raises(Exception, match="broken"):
+            cdm.bucket_by_person(new.withColumnRenamed("n", "person_id"), "t", "frailscope_atomic", buckets=2)
+        with pytest.raises(Exception, match="broken"):
+            cdm.checkpoint_table(new, "t", path=f"{tmp_path}/tables")
+        with pytest.raises(Exception, match="broken"):
+            cdm.write_summary(new, f"{tmp_path}/csv/t")
+        expected = sorted(map(tuple, old.collect()))
+        for found in (
+            spark.table("frailscope_atomic.t"),
+            spark.read.parquet(f"{tmp_path}/tables/t"),
+            cdm.read_codes(spark, f"{tmp_path}/csv/t", old.schema),
+        ):
+            assert sorted(map(tuple, found.collect())) == expected
+        assert [t.name for t in spark.catalog.listTables("frailscope_atomic")] == ["t"]
+        assert [p.name for p in Path(tmp_path, "tables").iterdir()] == ["t"]
+        assert [p.name for p in Path(tmp_path, "csv").iterdir()] == ["t"]
+    finally:
+        spark.sql("DROP DATABASE frailscope_atomic CASCADE")
+
+
+def test_a_table_may_be_rebuilt_from_itself(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS frailscope_atomic LOCATION '{tmp_path}/db'")
+    try:
+        for place in ({"schema": "frailscope_atomic"}, {"path": str(tmp_path)}):
+            table = cdm.checkpoint_table(spark.range(10), "t", **place)
+            for n in (5, 3):
+                table = cdm.checkpoint_table(table.filter(F.col("id") < n).withColumn(f"more_{n}", F.lit(n)), "t", **place)
+                assert sorted(r["id"] for r in table.collect()) == list(range(n))
+            assert table.columns == ["id", "more_5", "more_3"]
+        codes = spark.createDataFrame([("a", 1), ("b", 2)], "code string, n int")
+        cdm.write_summary(codes, f"{tmp_path}/csv")
+        cdm.write_summary(cdm.read_codes(spark, f"{tmp_path}/csv", codes.schema).filter("n > 1"), f"{tmp_path}/csv")
+        assert [tuple(r) for r in cdm.read_codes(spark, f"{tmp_path}/csv", codes.schema).collect()] == [("b", 2)]
+    finally:
+        spark.sql("DROP DATABASE frailscope_atomic CASCADE")
+
+
+def test_a_replacement_cut_off_between_its_renames_is_put_back(spark, tmp_path, monkeypatch):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS frailscope_atomic LOCATION '{tmp_path}/db'")
+    try:
+        cdm.checkpoint_table(spark.range(4), "t", schema="frailscope_atomic")
+        cdm.checkpoint_table(spark.range(4), "t", path=f"{tmp_path}/tables")
+        rename = scratch.Folders.rename
+        monkeypatch.setattr(
+            scratch.Folders, "rename", lambda self, a, b: rename(self, a, b) if "_new-" not in a else exec("raise KeyboardInterrupt")
+        )
+        with pytest.raises(KeyboardInterrupt):
+            cdm.checkpoint_table(spark.range(9), "t", path=f"{tmp_path}/tables")
+        monkeypatch.undo()
+        assert not Path(tmp_path, "tables", "t").exists()
+        assert cdm.restore_folder(spark, f"{tmp_path}/tables/t") and not cdm.restore_folder(spark, f"{tmp_path}/tables/t")
+        assert spark.read.parquet(f"{tmp_path}/tables/t").count() == 4
+        spark.sql("ALTER TABLE frailscope_atomic.t RENAME TO frailscope_atomic.t__replaced")
+        with pytest.raises(Exception, match="broken"):
+            cdm.checkpoint_table(broken(spark.range(3)), "t", schema="frailscope_atomic")
+        assert spark.table("frailscope_atomic.t").count() == 4
+        assert cdm.checkpoint_table(spark.range(6), "t", schema="frailscope_atomic").count() == 6
+    finally:
+        spark.sql("DROP DATABASE frailscope_atomic CASCADE")
+
+
 def test_csv_round_trip(spark, folder):
     df = spark.createDataFrame([("b", 2, 0.5), ("a", 1, None)], "category string, n long, share double")
     cdm.write_summary(df, f"{folder}/out", order_by=["category"])
