@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frailscope.llm import decontamination, line_dedup, minhash, pieces, quality_classifier
-from frailscope.sources.scratch import scratch_folder
+from frailscope.sources.scratch import scratch_folder, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
-    found = minhash.near_duplicates(docs)
-    copies = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return minhash.without_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +53,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what a stage returns is stored before the next one reads it."""
+    """All stages over the documents of ``sf_dir``; what a stage returns is stored before the next one reads it.
+
+    The tables that a stage stores on its way are deleted when its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         target = f"{scratch_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(target)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(target)
         docs = spark.read.parquet(target)
     return docs
