@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple, Protocol
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from frailscope.functions.dates import in_closed_window, years_before
@@ -90,23 +90,38 @@ def _kept(cohort: DataFrame) -> list[str]:
 
 def _search(
     facts: DataFrame, lookup: DataFrame, on: str, bound: Row, cohort: DataFrame, acute: int, chronic: int
+) -> DataFrame:
+    """:func:`_search_windows` with one lookback, or with two that the column ``chronic`` of ``lookup`` tells apart."""
+    years = F.when(F.col("chronic") == 1, F.lit(chronic)).otherwise(F.lit(acute))
+    return _search_windows(facts, lookup, on, bound, cohort, [acute, chronic], years)
+
+
+def _search_windows(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: str,
+    bound: Row,
+    cohort: DataFrame,
+    lookbacks: Sequence[int],
+    years: Column,
 ) -> DataFrame:
     """Facts whose ``on`` is in the lookup and whose date is in the window of their person.
 
-    ``person_start_date`` is moved back by the lookback, for which ``lookup`` carries ``chronic`` if
-    the two lookbacks differ. Both window starts are worked out once per person, and the span of
+    ``person_start_date`` is moved back by the lookback: ``years``, one of ``lookbacks``, an expression over ``lookup``
+    that matters only if there are several. All window starts are worked out once per person, and the span of
     all windows is handed to the scan of the facts.
 
     A broadcast lookup goes first, it costs no shuffle. A large one (by its ``bound``) goes last, so
     that only facts inside a window are shuffled to it.
     """
     start, date = F.col("person_start_date"), F.col("start_date")
-    starts = {"_acute": years_before(start, acute - 1)}
-    moved = earliest = F.col("_acute")
-    if acute != chronic:
-        starts["_chronic"] = years_before(start, chronic - 1)
-        moved = F.when(F.col("chronic") == 1, F.col("_chronic")).otherwise(F.col("_acute"))
-        earliest = F.least("_acute", "_chronic")
+    known = sorted(set(lookbacks))
+    starts = {f"_start_{n}": years_before(start, n - 1) for n in known}
+    moved = earliest = F.col(f"_start_{known[0]}")
+    for n in known[1:]:
+        moved = F.when(years == n, F.col(f"_start_{n}")).otherwise(moved)
+    if len(known) > 1:
+        earliest = F.least(*starts)
     people = cohort.withColumns(starts).drop("person_start_date")
     size = measure(people, F.min(earliest).alias("lo"), F.max("person_end_date").alias("hi"))
     if size["lo"] is not None and size["hi"] is not None:
@@ -125,6 +140,32 @@ def _search(
     )
 
 
+def find_index_events(
+    cdm: Cdm,
+    cohort: DataFrame,
+    concepts: DataFrame,
+    lookbacks: Sequence[int] = (1,),
+    domains: Sequence[str] = tuple(DOMAINS),
+) -> DataFrame:
+    """Distinct (person_id, kept columns, index_name, category, score) of several indices, in one search.
+
+    ``concepts`` (index_name, category, concept_id, score, lookback) says which index and category a concept belongs
+    to and how many years back it is looked for, one of ``lookbacks``. Every clinical domain is scanned once
+    and joined to the cohort once, however many indices there are. ``cohort`` comes from :func:`search_window`.
+    """
+    require_columns(cohort, _WINDOW, "the cohort")
+    if not lookbacks or min(lookbacks) < 1:
+        raise ValueError("lookbacks are whole years from 1 upwards")
+    wanted = concepts.select("concept_id", "index_name", "category", "score", F.col("lookback").cast("int"))
+    bound = measure(wanted)
+    standard = cdm.table("concept").filter(F.col("standard_concept") == "S").select("concept_id")
+    lookup = standard.join(wanted.distinct(), "concept_id")
+    hits = _search_windows(
+        domain_events(cdm, domains), lookup, "concept_id", bound, cohort, lookbacks, F.col("lookback")
+    )
+    return hits.select("person_id", *_kept(cohort), "index_name", "category", "score").distinct()
+
+
 def find_events(
     cdm: Cdm,
     cohort: DataFrame,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frailscope.functions.joins import null_safe_join, people_join
+from frailscope.functions.sums import exact_sum
 from frailscope.schemas import require_columns
 
 GROUPINGS = ("person_id", "category")
@@ -76,7 +78,7 @@ def fi_by_person(
     scored = (
         fi_detail(events, search, person_id=person_id, search_person_id=search_person_id, **options)
         .groupBy("person_id")
-        .agg(F.sum("score").alias("fi"))
+        .agg(exact_sum("score").alias("fi"))
         .withColumns({search_person_id: F.col("person_id"), "found_ehr": F.lit(1)})
     )
     wanted = search if rejoin else search.select(search_person_id).distinct()
@@ -97,7 +99,7 @@ def fi_by_person(
 
 def fi_by_category(events: DataFrame, search: DataFrame, ordered: bool = False, **options) -> DataFrame:
     """Summed score per category over the searched people, as (category, fi)."""
-    scores = fi_detail(events, search, **options).groupBy("category").agg(F.sum("score").alias("fi"))
+    scores = fi_detail(events, search, **options).groupBy("category").agg(exact_sum("score").alias("fi"))
     return scores.orderBy(F.desc("fi"), "category") if ordered else scores
 
 
@@ -112,7 +114,7 @@ def summarize_events(
     """Summed score of events that were already searched: no cohort, no window."""
     key = _grouping(by)
     scores = (
-        _weighted(events, person_id, category, weight).distinct().groupBy(key).agg(F.sum("score").alias("fi"))
+        _weighted(events, person_id, category, weight).distinct().groupBy(key).agg(exact_sum("score").alias("fi"))
     )
     return scores.orderBy(F.desc("fi"), key) if ordered else scores
 
@@ -131,6 +133,17 @@ def frailty_index(
     return (fi_by_person if key == "person_id" else fi_by_category)(events, search, **options)
 
 
+def _classes(fi: Column, lb: Column, ub: Column) -> dict[str, Column]:
+    return {
+        "prefrail": F.when((fi >= lb) & (fi < ub), 1).otherwise(0),
+        "frail": F.when(fi >= ub, 1).otherwise(0),
+        "robust": F.when(fi < lb, 1).otherwise(0),
+    }
+
+
+_WITHOUT_EVENTS = {"fi": 0.0, "prefrail": 0, "frail": 0, "robust": 1}
+
+
 def fi_with_robust(
     events: DataFrame,
     cohort: DataFrame,
@@ -142,29 +155,60 @@ def fi_with_robust(
     """Frailty index and class of every cohort member.
 
     ``fi`` is the sum of the distinct (category, score) of a person over ``denominator``: robust
-    below ``lb``, prefrail from ``lb`` to below ``ub``, frail from ``ub``. Cohort members without
+    below ``lb``, prefrail from ``lb`` to below ``ub``, frail from ``ub``. Scores are added up exactly, so the class
+    of a person at a cut-off does not depend on the order of events. Cohort members without
     events are robust with index 0. ``events`` is read twice, so pass a stored table.
     """
     keys = ["person_id", *strata]
-    fi = F.col("fi")
     scored = (
         events.select(*keys, "category", "score")
         .distinct()
         .groupBy(*keys)
-        .agg((F.sum("score") / F.lit(float(denominator))).alias("fi"))
-        .withColumns(
-            {
-                "prefrail": F.when((fi >= lb) & (fi < ub), 1).otherwise(0),
-                "frail": F.when(fi >= ub, 1).otherwise(0),
-                "robust": F.when(fi < lb, 1).otherwise(0),
-            }
-        )
+        .agg((exact_sum("score") / F.lit(float(denominator))).alias("fi"))
+        .withColumns(_classes(F.col("fi"), F.lit(lb), F.lit(ub)))
     )
     without = cohort.join(events.select("person_id").distinct(), "person_id", "left_anti").select(
-        *keys,
-        F.lit(0.0).alias("fi"),
-        F.lit(0).alias("prefrail"),
-        F.lit(0).alias("frail"),
-        F.lit(1).alias("robust"),
+        *keys, *(F.lit(v).alias(c) for c, v in _WITHOUT_EVENTS.items())
+    )
+    return scored.unionByName(without)
+
+
+class Cutoffs(NamedTuple):
+    """Deficits of an index, and where prefrail and frail begin."""
+
+    denominator: float
+    lb: float
+    ub: float
+
+
+def fi_of_indices(
+    events: DataFrame,
+    cohort: DataFrame,
+    cutoffs: Mapping[str, Cutoffs],
+    strata: Sequence[str] = ("age_group", "is_female"),
+) -> DataFrame:
+    """:func:`fi_with_robust` for several indices in one pass, told apart by ``index_name``."""
+    keys = ["index_name", "person_id", *strata]
+
+    def of_index(field: str) -> Column:
+        out = F.lit(None).cast("double")
+        for name, values in cutoffs.items():
+            out = F.when(F.col("index_name") == name, F.lit(float(getattr(values, field)))).otherwise(out)
+        return out
+
+    scored = (
+        events.select(*keys, "category", "score")
+        .distinct()
+        .groupBy(*keys)
+        .agg(exact_sum("score").alias("total"))
+        .withColumn("fi", F.col("total") / of_index("denominator"))
+        .drop("total")
+        .withColumns(_classes(F.col("fi"), of_index("lb"), of_index("ub")))
+    )
+    names = F.array(*(F.lit(name) for name in cutoffs))
+    everyone = cohort.select("person_id", *strata, F.explode(names).alias("index_name"))
+    found = events.select("index_name", "person_id").distinct()
+    without = everyone.join(found, ["index_name", "person_id"], "left_anti").select(
+        *keys, *(F.lit(v).alias(c) for c, v in _WITHOUT_EVENTS.items())
     )
     return scored.unionByName(without)

@@ -14,7 +14,7 @@ from frailscope.functions.joins import lookup_join
 from frailscope.functions.strata import AGE_BREAKS
 from frailscope.operators import agreement, concepts, events, polypharmacy, rates, scoring, summaries
 from frailscope.operators import cohort as people
-from frailscope.plans.frailty import IndexSpec, build_cohort, frailty_study, index_events
+from frailscope.plans.frailty import IndexSpec, build_cohort, frailty_studies, frailty_study, index_events
 from frailscope.session import tune
 from frailscope.sources.cdm import OmopCdm, checkpoint_table, read_codes, write_summary
 from frailscope.sources.fixtures import FixtureCdm
@@ -68,6 +68,10 @@ class Inputs:
         cohort = self.cohort if dedupe else self.cohort_all
         return frailty_study(self.cdm, self.fi_indices, spec, SEED, self.table("lookbacks"), dedupe, cohort)
 
+    def studies(self, specs: dict[str, IndexSpec], dedupe: bool = True):
+        cohort = self.cohort if dedupe else self.cohort_all
+        return frailty_studies(self.cdm, self.fi_indices, specs, SEED, self.table("lookbacks"), dedupe, cohort)
+
     def dated_events(self, index: str) -> DataFrame:
         """All clinical events with the categories of an index, whatever their date."""
         members = concepts.concept_set(self.fi_indices, index).select("concept_id", "category", "score")
@@ -570,10 +574,31 @@ def small_cells_share_kept(q: Inputs):
 
 @query
 def stacked_summaries(q: Inputs):
-    return summaries.stack_summaries(
-        {"vafi": q.study(ONE_YEAR).summary(), "efi": q.study(EFI_DRUGS).summary()},
-        order_by=["fi", "age_group", "is_female"],
-    )
+    return q.studies({"vafi": ONE_YEAR, "efi": EFI_DRUGS}).summary().orderBy("fi", "age_group", "is_female")
+
+
+SEVERAL = {"vafi": ONE_YEAR, "vafi chronic 3": CHRONIC_3, "efi": EFI_DRUGS, "efi chronic 3": replace(EFI_DRUGS, chronic_lookback=3)}
+
+
+@query
+def several_index_events(q: Inputs):
+    return q.studies(SEVERAL).events
+
+
+@query
+def several_index_scores(q: Inputs):
+    return q.studies(SEVERAL).scores
+
+
+@query
+def several_index_scores_all_periods(q: Inputs):
+    return q.studies(SEVERAL, dedupe=False).scores
+
+
+@query
+def several_index_prevalence(q: Inputs):
+    efi = concepts.concept_set(q.fi_indices, "efi").select("category")
+    return q.studies({"vafi": ONE_YEAR, "efi": EFI_DRUGS}).prevalence({"vafi": q.vafi.select("category"), "efi": efi})
 
 
 # ---- deficit rates ------------------------------------------------------------------------------

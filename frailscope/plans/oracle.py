@@ -264,17 +264,54 @@ joined AS (
     ON a.concept_id = b.concept_id AND a.category = b.category)"""
 
 
-def _prevalence(cohort: str) -> str:
-    return _sql(
-        f"""
+def _prevalence_of(fi: str, cohort: str, events: str) -> str:
+    return f"""
 SELECT g.age_group, g.is_female, g.category, count(*) AS "N", CAST(count(e.person_id) AS DOUBLE) AS "count",
        round(count(e.person_id) / CAST(count(*) AS DOUBLE), 6) AS percent
 FROM (SELECT k.person_id, k.age_group, k.is_female, c.category
-      FROM {cohort} k, (SELECT DISTINCT category FROM fi_indices WHERE fi = 'vafi') c) g
-LEFT JOIN (SELECT DISTINCT person_id, category FROM ev) e ON e.person_id = g.person_id AND e.category = g.category
+      FROM {cohort} k, (SELECT DISTINCT category FROM fi_indices WHERE fi = '{fi}') c) g
+LEFT JOIN (SELECT DISTINCT person_id, category FROM {events}) e ON e.person_id = g.person_id AND e.category = g.category
 WHERE g.age_group IS NOT NULL
-GROUP BY g.age_group, g.is_female, g.category""",
-        _events("ev", "vafi", cohort),
+GROUP BY g.age_group, g.is_female, g.category"""
+
+
+def _prevalence(cohort: str) -> str:
+    return _sql(_prevalence_of("vafi", cohort, "ev"), _events("ev", "vafi", cohort))
+
+
+def _several(cohort: str = "cohort") -> tuple[str, ...]:
+    """CTEs of the distinct events of two indices with one and three years of chronic lookback."""
+
+    def with_drugs(name: str, source: str) -> str:
+        return f"""
+{name} AS (
+  SELECT DISTINCT person_id, age_group, is_female, category, score FROM {source}
+  UNION
+  SELECT k.person_id, k.age_group, k.is_female, 'Polypharmacy', CAST(1 AS DOUBLE)
+  FROM {cohort} k JOIN drugs d ON d.person_id = k.person_id WHERE d.n >= 10)"""
+
+    return (
+        _events("vafi_1", "vafi", cohort),
+        _events("vafi_3", "vafi", cohort, chronic=3),
+        _events("efi_1_found", "efi", cohort),
+        _events("efi_3_found", "efi", cohort, chronic=3),
+        _ingredients("drugs", 2),
+        with_drugs("efi_1", "efi_1_found"),
+        with_drugs("efi_3", "efi_3_found"),
+    )
+
+
+_SEVERAL = {"vafi_1": ("vafi", 25), "vafi_3": ("vafi chronic 3", 25), "efi_1": ("efi", 31), "efi_3": ("efi chronic 3", 31)}
+
+
+def _several_scores(cohort: str = "cohort") -> str:
+    return _sql(
+        " UNION ALL ".join(
+            f"SELECT * REPLACE (round(fi, 6) AS fi), '{label}' AS index_name FROM scored_{name}"
+            for name, (label, _) in _SEVERAL.items()
+        ),
+        *_several(cohort),
+        *(_scores(f"scored_{name}", name, cohort, denominator=n) for name, (_, n) in _SEVERAL.items()),
     )
 
 
@@ -541,6 +578,20 @@ SELECT * REPLACE (CASE WHEN total < 20 THEN '<20' ELSE CAST(CAST(total AS BIGINT
             _scores("scored_vafi", "ev_vafi"),
             _scores("scored_efi", "efi_drugs", denominator=31),
         ),
+        "several_index_events": _sql(
+            " UNION ALL ".join(
+                f"SELECT DISTINCT person_id, age_group, is_female, category, score, '{label}' AS index_name FROM {name}"
+                for name, (label, _) in _SEVERAL.items()
+            ),
+            *_several(),
+        ),
+        "several_index_scores": _several_scores(),
+        "several_index_scores_all_periods": _several_scores("cohort_all"),
+        "several_index_prevalence": _sql(
+            f"SELECT p.*, 'vafi' AS fi FROM ({_prevalence_of('vafi', 'cohort', 'vafi_1')}) p"
+            f" UNION ALL SELECT p.*, 'efi' FROM ({_prevalence_of('efi', 'cohort', 'efi_1')}) p",
+            *_several(),
+        ),
         # deficit rates
         "deficit_spans": _sql("SELECT * FROM spans", _events("ev", "vafi", acute=3, chronic=3), _SPANS),
         "deficit_rates": _sql(

@@ -22,6 +22,8 @@ LARGE_PATHS = [
     "pruned_mappings",
     "code_patterns_to_concepts",
     "frailty_summary_chronic_lookback",
+    "several_index_events",
+    "several_index_scores_all_periods",
 ]
 
 
