@@ -1,6 +1,7 @@
 """Tokens of two tokenizers over the same bytes, against a plain loop over all token pairs."""
 
 import hashlib
+import json
 from collections import Counter
 
 import numpy as np
@@ -147,3 +148,23 @@ def test_long_texts_in_parts_and_forgotten_windows(monkeypatch):
     assert whole["n_a"][0] > 4000 and whole["n_a"][1] == 0
     for name, value in whole.items():
         assert np.array_equal(value, parts[name])
+
+
+def test_encoding_by_rank_is_that_of_the_file():
+    """All characters, alone and after spaces, and odd runs; and a file that cannot be encoded by rank."""
+    file, pieces = open(alignment.BYTE_LEVEL, "rb").read(), open(alignment.PIECES, "rb").read()
+    coder = alignment.Encoders(file, pieces)
+    assert alignment._ranked(json.loads(file)) is not None
+    a, _ = tokenizers()
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [j.join(every[i : i + 400]) for j in ("", " a", "\n ") for i in range(0, len(every), 4000)]
+    texts += [" " * 5000, "\n" * 5000 + "x", "x" * 5000, "!" * 5000, "it's we'll '", "<|endoftext|>"]
+    ids, counts, _, _ = coder.encode(texts)
+    expected = [a.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+    other = json.loads(file)
+    other["model"]["merges"][:2] = other["model"]["merges"][1::-1]
+    assert alignment._ranked(other) is None
+    slow = alignment.Encoders(json.dumps(other).encode(), pieces)
+    assert slow.encode(["then there"])[1].tolist() == [len(Tokenizer.from_str(json.dumps(other)).encode(" then there").ids)]
