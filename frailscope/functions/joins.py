@@ -98,7 +98,8 @@ def people_join(
     facts of hot persons are spread over salts by the columns ``spread_by`` and only those persons'
     rows are copied, once per salt. Each fact row meets each of its people rows exactly once either
     way. Without hot persons, or with a setting of one salt, it is a plain join, which reads fact
-    tables bucketed by person without shuffling them.
+    tables bucketed by person without shuffling them. Of facts that lie by person already, only those of hot persons
+    are salted and shuffled; the others are joined where they lie, in a second pass over the facts.
     """
     if fits_broadcast(people, measured):
         return facts.join(F.broadcast(people), on)
@@ -106,7 +107,24 @@ def people_join(
     hot = _hot_people(facts, on) if salts > 1 else None
     if hot is None or hot.isEmpty():
         return facts.join(people.hint("merge"), on)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(store(hot, "hot"))
+    if _lies_by(facts, on):
+        cold = facts.join(hot, on, "left_anti").join(people.hint("merge"), on)
+        rest = _salted_join(facts.join(hot, on, "left_semi"), people.join(hot, on, "left_semi"), hot, spread_by, on, salts)
+        return cold.unionByName(rest)
+    return _salted_join(facts, people, hot, spread_by, on, salts)
+
+
+def _lies_by(facts: DataFrame, on: str) -> bool:
+    """Rows with one ``on`` are in one partition already, as in a table bucketed by it."""
+    dealt = facts._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    return dealt.startswith(f"hashpartitioning({on}#")
+
+
+def _salted_join(
+    facts: DataFrame, people: DataFrame, hot: DataFrame, spread_by: Sequence[str], on: str, salts: int
+) -> DataFrame:
+    """Join by ``on``, the rows of ``hot`` keys dealt over ``salts`` tasks each."""
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     salted = facts.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -97,24 +97,55 @@ def standard_concepts(concept: DataFrame, concepts: DataFrame, mode: str = "join
     return lookup_join(names, concepts.select("concept_id", *flags).distinct(), "concept_id").distinct()
 
 
-def _literal_prefix(pattern: Column) -> Column:
-    """What a LIKE pattern says before its first wildcard or escape."""
-    return F.regexp_extract(pattern, r"^([^%_\\]*)", 1)
+# Patterns that begin with a wildcard are looked up by so many characters from their longest literal part.
+_INFIX = 3
+
+
+def _pattern_key(pattern: Column) -> Column:
+    """By what part of a LIKE pattern the codes that may match are found, as struct (kind, part).
+
+    Kind 0 is what the pattern says before its first wildcard or escape. If that is empty, it is the beginning of the
+    pattern's longest literal part, of kind 1 to 3 by its length. Only a pattern of nothing but wildcards and escapes
+    has an empty part, which every code has.
+    """
+    prefix = F.regexp_extract(pattern, r"^([^%_\\]*)", 1)
+    # An escaped character ends a part as well: what it stands for is left to the LIKE test.
+    parts = F.split(F.regexp_replace(pattern, r"\\.", "%"), "[%_]")
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))["part"]
+    infix = F.substring(longest, 1, _INFIX)
+    kind = F.when(prefix != "", F.lit(0)).otherwise(F.length(infix))
+    return F.struct(kind.alias("kind"), F.when(prefix != "", prefix).otherwise(infix).alias("part"))
+
+
+def _code_keys(code: str, kinds: set[int]) -> Column:
+    """Every key under which a pattern of these kinds that matches the code may be found, each once."""
+    def parts(kind: int) -> Column:
+        if kind == 0:
+            # All prefixes; the empty one belongs to patterns without any literal part.
+            return F.transform(F.sequence(F.lit(0), F.length(code)), lambda n: F.substring(F.col(code), F.lit(1), n))
+        places = F.sequence(F.lit(1), F.length(code))
+        pieces = F.transform(places, lambda n: F.substring(F.col(code), n, F.lit(kind)))
+        return F.array_distinct(F.filter(pieces, lambda p: F.length(p) == kind))
+
+    def keys(kind: int) -> Column:
+        return F.transform(parts(kind), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("part")))
+
+    return F.concat(*(keys(kind) for kind in sorted(kinds)))
 
 
 def match_like(codes: DataFrame, patterns: DataFrame, code: str, pattern: str) -> DataFrame:
     """All (code row, pattern row) pairs where the code is LIKE the pattern.
 
-    Every code is keyed by each of its own prefixes and every pattern by its literal prefix, so
-    this is an equality join with LIKE as a residual test, whatever the number of patterns.
+    Every pattern is keyed by its literal prefix, or, if it begins with a wildcard, by a piece of its longest literal
+    part; every code by each of its own prefixes and, where such patterns occur, by its pieces of their lengths. So
+    this is an equality join with LIKE as a residual test, whatever the number of patterns. Only a pattern of
+    nothing but wildcards meets all codes.
     """
-    keyed_codes = codes.withColumn(
-        "_prefix",
-        F.explode(F.transform(F.sequence(F.lit(0), F.length(code)), lambda n: F.substring(F.col(code), F.lit(1), n))),
-    )
-    keyed_patterns = patterns.withColumn("_prefix", _literal_prefix(F.col(pattern)))
-    pairs = lookup_join(keyed_codes, keyed_patterns, "_prefix")
-    return pairs.filter(F.expr(f"`{code}` LIKE `{pattern}`")).drop("_prefix")
+    keyed_patterns = patterns.withColumn("_key", _pattern_key(F.col(pattern)))
+    kinds = keyed_patterns.agg(F.collect_set("_key.kind")).first()[0]  # four at most
+    keyed_codes = codes.withColumn("_key", F.explode(_code_keys(code, set(kinds) or {0})))
+    pairs = lookup_join(keyed_codes, keyed_patterns, "_key")
+    return pairs.filter(F.expr(f"`{code}` LIKE `{pattern}`")).drop("_key")
 
 
 def map_codes_like(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from frailscope.functions.dates import in_closed_window, years_before
 from frailscope.functions.joins import fits_broadcast, lookup_join, measure, people_join
 from frailscope.operators.concepts import concept_set, require_index
-from frailscope.schemas import require_columns
+from frailscope.schemas import EVENT_MONTH, require_columns
 
 
 class Cdm(Protocol):
@@ -65,20 +65,28 @@ def search_window(
     )
 
 
-def domain_events(cdm: Cdm, domains: Sequence[str] = tuple(DOMAINS), source_values: bool = False) -> DataFrame:
-    """The clinical domains as one table (person_id, concept_id, start_date, domain[, source_value])."""
+def domain_events(
+    cdm: Cdm, domains: Sequence[str] = tuple(DOMAINS), source_values: bool = False, months: bool = False
+) -> DataFrame:
+    """The clinical domains as one table (person_id, concept_id, start_date, domain[, source_value][, event_month]).
+
+    ``event_month`` is the partition column of tables in the dated layout, and null for others.
+    """
     unknown = [d for d in domains if d not in DOMAINS]
     if unknown or not domains:
         raise ValueError(f"unknown domains {unknown}; choose from {', '.join(DOMAINS)}")
     stacked = None
     for domain in domains:
         names = DOMAINS[domain]
-        part = cdm.table(names.table).select(
+        table = cdm.table(names.table)
+        month = F.col(EVENT_MONTH) if EVENT_MONTH in table.columns else F.lit(None)
+        part = table.select(
             "person_id",
             F.col(names.concept).alias("concept_id"),
             F.col(names.date).alias("start_date"),
             F.lit(domain).alias("domain"),
             *([F.col(names.source).alias("source_value")] if source_values else []),
+            *([month.cast("date").alias(EVENT_MONTH)] if months else []),
         )
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
@@ -109,7 +117,7 @@ def _search_windows(
 
     ``person_start_date`` is moved back by the lookback: ``years``, one of ``lookbacks``, an expression over ``lookup``
     that matters only if there are several. All window starts are worked out once per person, and the span of
-    all windows is handed to the scan of the facts.
+    all windows is handed to the scan of the facts, as dates and, for the dated layout, as months.
 
     A broadcast lookup goes first, it costs no shuffle. A large one (by its ``bound``) goes last, so
     that only facts inside a window are shuffled to it.
@@ -126,6 +134,11 @@ def _search_windows(
     size = measure(people, F.min(earliest).alias("lo"), F.max("person_end_date").alias("hi"))
     if size["lo"] is not None and size["hi"] is not None:
         facts = facts.filter(date.between(F.lit(size["lo"]), F.lit(size["hi"])))
+        if EVENT_MONTH in facts.columns:
+            # Tables in the dated layout are read for the months of the windows only.
+            month, least = F.col(EVENT_MONTH), F.lit(size["lo"].replace(day=1))
+            facts = facts.filter(month.isNull() | month.between(least, F.lit(size["hi"].replace(day=1))))
+    facts = facts.drop(EVENT_MONTH)
 
     def near_people(df: DataFrame) -> DataFrame:
         joined = people_join(df, people, spread_by=[on, "start_date"], measured=size)
@@ -161,7 +174,7 @@ def find_index_events(
     standard = cdm.table("concept").filter(F.col("standard_concept") == "S").select("concept_id")
     lookup = standard.join(wanted.distinct(), "concept_id")
     hits = _search_windows(
-        domain_events(cdm, domains), lookup, "concept_id", bound, cohort, lookbacks, F.col("lookback")
+        domain_events(cdm, domains, months=True), lookup, "concept_id", bound, cohort, lookbacks, F.col("lookback")
     )
     return hits.select("person_id", *_kept(cohort), "index_name", "category", "score").distinct()
 
@@ -207,7 +220,7 @@ def find_events(
     standard = cdm.table("concept").filter(F.col("standard_concept") == "S").select("concept_id", *names)
     lookup = standard.join(wanted.distinct(), "concept_id")
     hits = _search(
-        domain_events(cdm, domains), lookup, "concept_id", bound, cohort, acute_lookback, chronic_lookback
+        domain_events(cdm, domains, months=True), lookup, "concept_id", bound, cohort, acute_lookback, chronic_lookback
     )
 
     kept = _kept(cohort)
@@ -265,7 +278,7 @@ def find_events_by_source_code(
     for more in codes[1:]:
         stacked = stacked.unionByName(more.select("code", "deficit"))
     wanted = stacked.select(F.col("code").alias("source_value"), "deficit").distinct()
-    facts = domain_events(cdm, domains, source_values=True)
+    facts = domain_events(cdm, domains, source_values=True, months=True)
     kept = _kept(cohort)
     found = (
         _search(facts, wanted, "source_value", measure(wanted), cohort, 1, 1)

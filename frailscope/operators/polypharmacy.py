@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from frailscope.functions.dates import days_between, in_closed_window, years_before
@@ -49,12 +51,15 @@ def drug_exposure_counts(
         eras = lookup_join(eras, exclude.select("drug_concept_id").distinct(), "drug_concept_id", "left_anti")
     people = cohort.select("person_id", F.col(index_date).alias("_index"), opens.alias("_opens")).distinct()
     # Under either rule an era must start by the last index date and end after the first window opens.
-    size = measure(people, F.min("_opens").alias("lo"), F.max("_index").alias("hi"))
+    size = measure(people, F.min("_opens").alias("lo"), F.max("_index").alias("hi"), F.count_distinct("person_id").alias("persons"))
     if size["lo"] is not None and size["hi"] is not None:
         eras = eras.filter((start <= F.lit(size["hi"])) & (end >= F.lit(size["lo"])))
+    if size["persons"] == size["rows"]:
+        near = people_join(eras, people, spread_by=["drug_concept_id"], measured=size)
+    else:
+        near = _by_year(eras, merged_windows(people, "_opens", "_index"), rule, size["lo"], size["hi"])
     return (
-        people_join(eras, people, spread_by=["drug_concept_id"], measured=size)
-        .filter(exposed)
+        near.filter(exposed)
         .select("person_id", "drug_concept_id")
         .distinct()
         .groupBy("person_id")
@@ -62,6 +67,37 @@ def drug_exposure_counts(
     )
 
 
+def merged_windows(windows: DataFrame, opens: str, closes: str) -> DataFrame:
+    """(person_id, opens, closes): the windows of each person with those that overlap or touch made one."""
+    dated = windows.filter(F.col(opens) <= F.col(closes)).select("person_id", opens, closes)
+    order = W.partitionBy("person_id").orderBy(opens, closes)
+    reach = F.max(closes).over(order.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.when(reach.isNull() | (F.col(opens) > reach), 1).otherwise(0)
+    numbered = dated.withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(order))
+    return numbered.groupBy("person_id", "_island").agg(F.min(opens).alias(opens), F.max(closes).alias(closes)).drop("_island")
+
+
+def _by_year(eras: DataFrame, windows: DataFrame, rule: str, first: date, last: date) -> DataFrame:
+    """Eras beside the disjoint windows of their person that share a calendar year with them.
+
+    Both are cut into years and joined by person and year. Windows of a person do not overlap, so a year has few of them, and rows
+    grow with the number of eras and windows, not with their product. Pairs may repeat.
+    """
+    start, end = F.col("drug_era_start_date"), F.col("drug_era_end_date")
+    if first is None or last is None:
+        years = F.array().cast("array<int>")
+    elif rule == "endpoint":
+        years = F.array_distinct(F.array(F.year(start), F.year(end)))
+    else:
+        upto = F.least(F.year(F.greatest(start, end)), F.lit(last.year))
+        years = F.sequence(F.greatest(F.year(start), F.lit(first.year)), upto)
+    key = F.struct("person_id", "_year").alias("_key")
+    keyed = eras.withColumn("_year", F.explode(years)).select("*", key).drop("_year")
+    spanned = F.sequence(F.year("_opens"), F.year("_index"))
+    cut = windows.withColumn("_year", F.explode(spanned)).select(key, "_opens", "_index")
+    return people_join(keyed, cut, spread_by=["drug_concept_id"], on="_key").drop("_key")
+
+
 def polypharmacy_deficit(
     counts: DataFrame,
     cohort: DataFrame,

@@ -212,6 +212,17 @@ def code_patterns_with_names(q: Inputs):
     return q.named_mappings
 
 
+@query
+def code_infixes_to_concepts(q: Inputs):
+    """Every fortieth concept's code, its first letter and a digit left open."""
+    code = F.col("concept_code")
+    patterns = q.table("concept").filter(F.col("concept_id") % 40 == 0).select(
+        F.concat(F.lit("open "), F.substring(code, 1, 1)).alias("category"),
+        F.concat(F.lit("%"), F.substring(code, 2, 1), F.lit("_"), F.substring(code, 4, 2)).alias("code_pattern"),
+    )
+    return concepts.map_codes_like(patterns, q.table("concept"), q.table("concept_relationship"))
+
+
 @query
 def cleaned_codes(q: Inputs):
     dot = F.when(F.col("concept_id") % 3 == 0, ".").otherwise("")

@@ -403,6 +403,20 @@ JOIN code_patterns p ON s.concept_code LIKE p.code_pattern
 WHERE r.relationship_id = 'Maps to'"""
         ),
         "code_patterns_with_names": _sql("SELECT * FROM named_mappings"),
+        "code_infixes_to_concepts": _sql(
+            """
+SELECT DISTINCT p.category, s.concept_code AS code, t.concept_id
+FROM concept_relationship r
+JOIN concept s ON s.concept_id = r.concept_id_1 AND s.vocabulary_id LIKE 'ICD10%'
+JOIN concept t ON t.concept_id = r.concept_id_2 AND t.vocabulary_id = 'SNOMED'
+JOIN infixes p ON s.concept_code LIKE p.code_pattern
+WHERE r.relationship_id = 'Maps to'""",
+            """
+infixes AS (
+  SELECT 'open ' || substr(concept_code, 1, 1) AS category,
+         '%' || substr(concept_code, 2, 1) || '_' || substr(concept_code, 4, 2) AS code_pattern
+  FROM concept WHERE concept_id % 40 = 0)""",
+        ),
         "cleaned_codes": _sql(
             """
 SELECT DISTINCT code, code_type,

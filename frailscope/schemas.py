@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The partition column of clinical tables in the dated layout: the first day of the event's month.
+EVENT_MONTH = "event_month"
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])

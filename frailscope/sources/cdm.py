@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frailscope.schemas import TABLES, require_columns
+from frailscope.schemas import EVENT_MONTH, TABLES, require_columns
 from frailscope.sources.scratch import Folders
 
 # Where the old rows wait while the new ones take their place.
@@ -140,6 +141,35 @@ def bucket_by_person(df: DataFrame, name: str, schema: str, buckets: int, sort_b
     return _replace_table(df, f"{schema}.{name}", writer.saveAsTable)
 
 
+def partition_by_month(
+    df: DataFrame, name: str, date: str, schema: str | None = None, path: str | None = None
+) -> DataFrame:
+    """Store a clinical table in the dated layout: one folder per month of ``date``, rows by person inside.
+
+    Searches read the months of their windows only. Rows are dealt by month and person into ranges of even size, so
+    a busy month is written by several tasks. Rows without a date are kept in a folder of their own. An older
+    table is replaced as by :func:`checkpoint_table`.
+    """
+    if (schema is None) == (path is None):
+        raise ValueError("give either a schema or a path")
+    dated = df.drop(EVENT_MONTH).withColumn(EVENT_MONTH, F.trunc(F.col(date).cast("date"), "month"))
+    order = [EVENT_MONTH, "person_id", date]
+    dealt = dated.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = dealt.write.format("parquet").partitionBy(EVENT_MONTH)
+    if schema is not None:
+        return _replace_table(df, f"{schema}.{name}", writer.saveAsTable)
+    spark, target = df.sparkSession, f"{path.rstrip('/')}/{name}"
+
+    def write(to: str) -> None:
+        writer.save(to)
+        if spark.read.schema(dated.schema).parquet(to).isEmpty():
+            # Without a row there is no folder either, and nobody could read the table's columns.
+            dated.limit(0).write.mode("overwrite").parquet(to)
+
+    _replace_folder(spark, target, write)
+    return spark.read.schema(dated.schema).parquet(target)
+
+
 def read_codes(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A CSV code list with a header row and a declared schema."""
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)

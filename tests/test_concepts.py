@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,27 @@ def test_like_join_equals_brute_force(spark, both_joins):
     assert rows(c.match_like(codes, patterns, "code", "pattern")) == rows(brute)
 
 
+def test_like_join_with_any_pattern_equals_brute_force(spark, both_joins):
+    """Random patterns over few letters, wildcards and escapes; codes of the same letters, repeated ones among them."""
+    rng = random.Random(5)
+    codes = ["".join(rng.choice("ab%_.é") for _ in range(rng.randrange(8))) for _ in range(60)] + ["ab", "ab", None]
+    parts = ["a", "b", "é", ".", "%", "_", "\\%", "\\_", "ab", "%%"]
+    patterns = {"".join(rng.choice(parts) for _ in range(rng.randrange(6))) for _ in range(150)} | {"%ab%", "%%", "_%", None}
+    codes = spark.createDataFrame([(k, x) for k, x in enumerate(codes)], "n int, code string")
+    patterns = spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    brute = codes.join(patterns, F.expr("code LIKE pattern"))
+    assert rows(c.match_like(codes, patterns, "code", "pattern")) == rows(brute)
+    assert c.match_like(codes, patterns.limit(0), "code", "pattern").count() == 0
+
+
+def test_only_wildcards_meet_every_code(spark):
+    keys = spark.createDataFrame([(p,) for p in ("%07.3", "_a%", "%x_yz%", "\\%ab", "%", "_%", "E0%")], "p string")
+    got = {r["p"]: tuple(r["k"]) for r in keys.select("p", c._pattern_key(F.col("p")).alias("k")).collect()}
+    assert got == {
+        "%07.3": (3, "07."), "_a%": (1, "a"), "%x_yz%": (2, "yz"), "\\%ab": (2, "ab"), "%": (0, ""), "_%": (0, ""), "E0%": (0, "E0"),
+    }
+
+
 def test_map_codes_follows_maps_to_only(spark):
     concept = spark.createDataFrame(
         [(1, "dm", "E10", "ICD10CM"), (2, "dm2", "E11", "ICD10"), (3, "cpt", "E10", "CPT4"), (10, "sn", "100", "SNOMED"), (11, "rx", "7", "RxNorm")],

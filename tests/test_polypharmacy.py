@@ -1,3 +1,6 @@
+import random
+from datetime import timedelta
+
 import pytest
 
 from conftest import day, rows
@@ -71,3 +74,70 @@ def test_deficit_prevalence_and_distribution(spark, cohort):
     assert (about["lowest"], about["median"], about["highest"], about["people"]) == (0, 4.0, 10, 3)
     assert about["q1"] == 2.0 and about["p90"] == pytest.approx(8.8) and about["mean"] == pytest.approx(14 / 3)
     assert about["share_from_10"] == pytest.approx(1 / 3) and about["share_from_15"] == 0.0
+
+
+def brute_counts(eras, windows, min_days, rule, exclude=()):
+    found = {}
+    for person, drug, start, end in eras:
+        if None in (start, end) or (end - start).days < min_days or drug in exclude:
+            continue
+        for who, index in windows:
+            if who != person or index is None:
+                continue
+            if rule == "endpoint":
+                year = 365 if (index.month, index.day) != (2, 29) else None
+                opens = index.replace(year=index.year - 1) if year else index.replace(year=index.year - 1, day=28)
+                hit = opens <= start <= index or opens <= end <= index
+            else:
+                opens = index - timedelta(days=365)
+                hit = opens < start <= index or (start <= opens and end > opens)
+            if hit:
+                found.setdefault(person, set()).add(drug)
+    return sorted((p, len(d)) for p, d in found.items())
+
+
+@pytest.mark.parametrize("rule, min_days", [("endpoint", 2), ("overlap", 2), ("overlap", -40), ("endpoint", -40)])
+def test_persons_with_many_windows_and_eras(spark, both_joins, rule, min_days):
+    """Several index dates a person, overlapping, touching and far apart; long eras and some that end before they start."""
+    rng = random.Random(rule)
+    base = day("2010-01-01")
+    windows = [(p, base + timedelta(days=rng.randrange(4000))) for p in range(1, 9) for _ in range(rng.randrange(1, 12))]
+    windows += [(1, day("2016-02-29")), (2, day("2015-01-01")), (2, day("2016-01-01")), (2, day("2016-01-01")), (3, None)]
+    eras = []
+    for _ in range(1500):
+        start = base + timedelta(days=rng.randrange(-900, 4800))
+        eras.append((rng.randrange(1, 10), rng.randrange(60), start, start + timedelta(days=rng.choice([-30, 0, 1, 2, 5, 400, 3000]))))
+    eras += [(1, 99, None, base), (1, 98, base, None)]
+    table = spark.createDataFrame(eras, "person_id long, drug_concept_id long, drug_era_start_date date, drug_era_end_date date")
+    cohort = spark.createDataFrame(windows, "person_id long, index_date date")
+    assert rows(p.drug_exposure_counts(table, cohort, min_days, rule=rule)) == brute_counts(eras, windows, min_days, rule)
+    assert p.drug_exposure_counts(table, cohort.limit(0), min_days, rule=rule).count() == 0
+
+
+def test_rows_grow_with_eras_and_windows_not_with_their_product(spark, monkeypatch):
+    made = []
+    joined = p.people_join
+
+    def counted(*args, **options):
+        out = joined(*args, **options)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(p, "people_join", counted)
+    base = day("1950-01-01")
+    for n in (200, 400):
+        eras = [(1, k % 50, base + timedelta(days=60 * k), base + timedelta(days=60 * k + 30)) for k in range(n)]
+        windows = [(1, base + timedelta(days=45 * k + 400)) for k in range(n)]
+        table = spark.createDataFrame(eras, "person_id long, drug_concept_id long, drug_era_start_date date, drug_era_end_date date")
+        cohort = spark.createDataFrame(windows, "person_id long, index_date date")
+        assert rows(p.drug_exposure_counts(table, cohort, 2)) == brute_counts(eras, windows, 2, "endpoint")
+    assert made[1] <= 2 * made[0] + 10 and made[0] <= 600
+
+
+def test_merged_windows(spark):
+    data = [(1, "2020-01-01", "2020-02-01"), (1, "2020-02-01", "2020-03-01"), (1, "2020-03-02", "2020-04-01"), (1, "2020-01-10", "2020-01-20"), (2, "2020-05-01", "2020-04-01"), (2, None, "2020-04-01")]
+    windows = spark.createDataFrame([(a, day(b), day(c)) for a, b, c in data], "person_id long, o date, c date")
+    assert rows(p.merged_windows(windows, "o", "c"), "person_id", "o", "c") == [
+        (1, day("2020-01-01"), day("2020-03-01")),
+        (1, day("2020-03-02"), day("2020-04-01")),
+    ]

@@ -1,11 +1,12 @@
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
-from frailscope.functions.joins import BROADCAST_CONF, SALT_CONF
-from frailscope.functions.quantiles import exact_quantiles
+from conftest import day, rows
+from frailscope.functions.joins import BROADCAST_CONF, HOT_ROWS_CONF, SALT_CONF, people_join
+from frailscope.functions.quantiles import exact_quantiles, ordered_buckets
 from frailscope.operators import events
 from frailscope.sources import cdm, scratch
 
@@ -72,6 +73,80 @@ def test_catalog_tables_and_buckets(spark, tmp_path, make_cdm, plain_conf):
         spark.sql("DROP DATABASE frailscope_test CASCADE")
 
 
+def test_hot_persons_do_not_undo_the_buckets(spark, tmp_path, plain_conf):
+    """Facts of all but the hot person are joined where they lie; only the hot one's are salted and shuffled."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS frailscope_hot LOCATION '{tmp_path}/db'")
+    try:
+        facts = spark.range(900).select(
+            F.when(F.col("id") < 300, 7).otherwise(F.col("id") % 97).cast("long").alias("person_id"),
+            (F.col("id") % 13).alias("concept_id"),
+            F.col("id").alias("n"),
+        )
+        stored = cdm.bucket_by_person(facts.union(facts.limit(1).withColumn("person_id", F.lit(None).cast("long"))), "facts", "frailscope_hot", buckets=4)
+        people = spark.createDataFrame([(p, f"g{p}") for p in range(60)] + [(7, "again"), (None, "x")], "person_id long, age_group string")
+        expected = rows(facts.join(people, "person_id").select("person_id", "concept_id", "n", "age_group"))
+        spark.conf.set(BROADCAST_CONF, "10")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set(SALT_CONF, "4")
+        spark.conf.set(HOT_ROWS_CONF, "100")
+        joined = people_join(stored, people, spread_by=["concept_id", "n"])
+        assert rows(joined.select("person_id", "concept_id", "n", "age_group")) == expected
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        plan = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+        cold = re.split(r"(?=SortMergeJoin \[)", plan)
+        assert len(cold) == 3 and "_salt" in cold[2].splitlines()[0] and "_salt" not in cold[1].splitlines()[0]
+        dealt = [line for line in cold[1].splitlines() if "Exchange hashpartitioning" in line]
+        assert len(dealt) == 1  # the people's
+        assert "Bucketed: true" in cold[1]
+        # Facts that do not lie by person are salted as a whole, in one pass.
+        whole = people_join(facts, people, spread_by=["concept_id", "n"])
+        assert rows(whole.select("person_id", "concept_id", "n", "age_group")) == expected
+        assert whole._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+        spark.sql("DROP DATABASE frailscope_hot CASCADE")
+
+
+def test_dated_tables_are_read_for_the_months_of_the_windows(spark, tmp_path, make_cdm):
+    names = events.DOMAINS["condition"]
+    dates = [f"{y}-{m:02d}-{d:02d}" for y in range(2015, 2021) for m in range(1, 13) for d in (1, 28)]
+    condition = [(p, 1, d) for p in (1, 2) for d in dates] + [(1, 1, None), (1, 2, "2019-07-01")]
+    plain = make_cdm([(1, "S"), (2, "S")], condition=condition, procedure=[(1, 2, "2016-06-01")], device=[(1, 1, "2019-03-01"), (2, 2, "2014-01-01")])
+    folder = str(tmp_path)
+    for columns in events.DOMAINS.values():
+        table = plain.table(columns.table)
+        if columns.table == "observation":
+            cdm.checkpoint_table(table, columns.table, path=folder)  # one table in the plain layout
+        else:
+            stored = cdm.partition_by_month(table, columns.table, columns.date, path=folder)
+            assert stored.count() == table.count() and stored.columns[-1] == "event_month"
+    cdm.checkpoint_table(plain.table("concept"), "concept", path=folder)
+    dated = cdm.OmopCdm(spark, path=folder)
+    people = spark.createDataFrame(
+        [(1, day("2018-03-15"), day("2019-03-15"), "a", 1), (2, day("2018-05-01"), day("2019-05-01"), "b", 0)],
+        "person_id long, person_start_date date, person_end_date date, age_group string, is_female int",
+    )
+    members = spark.createDataFrame([("A", 1, 1.0), ("B", 2, 1.0)], "category string, concept_id long, score double")
+    for options in ({}, {"acute_lookback": 2, "chronic_lookback": 2}):
+        found, expected = (events.find_events(c, people, members, "concept", **options) for c in (dated, plain))
+        assert rows(found) == rows(expected) and found.columns == expected.columns
+    found = events.find_events(dated, people, members, "concept")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = [f for f in re.findall(r"PartitionFilters: \[(.*?)\]", plan) if "event_month" in f]
+    assert len(filters) == 3 and all("2018-03-01" in f and "2019-05-01" in f for f in filters)
+    everything = dated.table(names.table)
+    year = everything.filter("event_month between date'2018-03-01' and date'2019-05-01'")
+    files, read = (df.select(F.input_file_name()).distinct().count() for df in (everything, year))
+    assert 15 <= read < files / 3
+    # Rebuilt from itself.
+    again = cdm.partition_by_month(dated.table(names.table), names.table, names.date, path=folder)
+    assert again.count() == len(condition)
+    with pytest.raises(ValueError):
+        cdm.partition_by_month(again, "x", names.date)
+    cdm.partition_by_month(again.limit(0), "empty", names.date, path=folder)
+    assert spark.read.parquet(f"{folder}/empty").columns == again.columns
+
+
 def test_checkpoint_needs_one_place(spark, folder):
     with pytest.raises(ValueError):
         cdm.checkpoint_table(spark.range(1), "x")
@@ -199,6 +274,28 @@ def test_csv_round_trip(spark, folder):
     assert len(back.inputFiles()) == 1
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_quantiles_of_crowded_values_are_ranked_in_several_tasks(spark, keys):
+    """One octave holds a thousand times as many values as a bucket may, close together, and one value far off."""
+    crowd = spark.range(20_000).select(F.lit("crowd").alias("k"), (1 + F.pow(F.col("id") / 20_000, 9) / 100).alias("v"))
+    odd = [("crowd", 1.7e308), ("crowd", -1.7e308), ("two", 5.0), ("two", 5.0), ("two", float("inf")), ("crowd", 1.0), (None, 1.5), (None, 2.5)]
+    values = crowd.union(spark.createDataFrame(odd, "k string, v double"))
+    probs = {"p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
+    got = rows(exact_quantiles(values, keys, "v", probs, most_values=20))
+    expected = rows(values.groupBy(*keys).agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()]))
+    assert len(got) == len(expected)
+    for ours, theirs in zip(got, expected, strict=True):
+        assert ours[: len(keys)] == theirs[: len(keys)]
+        assert ours[len(keys) :] == pytest.approx(theirs[len(keys) :], rel=1e-15, nan_ok=True)
+    histogram = values.groupBy(*keys, F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_freq"))
+    cut = ordered_buckets(scratch.store(histogram, "h"), keys, 20).filter("_v < 1e300")
+    sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    found = sizes.orderBy(*keys, "_bucket").collect()
+    assert len(found) > 1000 and max(r["n"] for r in found) <= 20
+    in_order = [(r["lo"], r["hi"]) for r in found if not keys or r["k"] == "crowd"]
+    assert in_order == sorted(in_order)
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_quantiles_are_exact(spark, keys):
     """One key holds nearly all rows and many repeats."""
