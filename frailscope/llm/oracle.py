@@ -46,14 +46,16 @@ f2 AS (SELECT *, word_chars - ({total}) AS other FROM f),
 f3 AS (SELECT *, {shares} FROM f2),
 cref AS (SELECT lang AS l, {sums} FROM f2 WHERE lang IN ({languages}) GROUP BY lang HAVING sum(word_chars) > 0),
 cdist AS (SELECT r, min(round(sqrt(greatest({divergence}, 0)), 6)) AS class_distance
-  FROM f3, cref WHERE word_chars >= {rules.MIN_CHARACTERS} GROUP BY r),
-wsum AS (SELECT lang AS l, x, sum(n) AS n FROM h WHERE lang IN ({languages}) GROUP BY ALL),
-wref AS (SELECT l, x, n::DOUBLE / sum(n) OVER (PARTITION BY l) AS q FROM wsum),
-langs AS (SELECT DISTINCT l FROM wref),
-hp AS (SELECT h.r, langs.l, h.n / n_common::DOUBLE AS p, coalesce(q, 0) AS q
-  FROM h JOIN hn USING (r) CROSS JOIN langs LEFT JOIN wref ON wref.l = langs.l AND wref.x = h.x
-  WHERE n_common >= {rules.MIN_COMMON}),
-wl AS (SELECT r, l, 0.5 + sum({halved("p", "q")} - q / 2) AS js FROM hp GROUP BY ALL),
+  FROM f3, cref WHERE n_words >= {rules.CLASS_WORDS} GROUP BY r),
+langs AS (SELECT lang AS l, sum(n_words) AS total FROM f WHERE lang IN ({languages}) GROUP BY lang HAVING sum(word_chars) > 0),
+wref AS (SELECT lang AS l, x, sum(n)::DOUBLE / any_value(total) AS q FROM h JOIN langs ON l = lang GROUP BY ALL),
+known AS (SELECT l, coalesce(sum(q), 0) AS q FROM langs LEFT JOIN wref USING (l) GROUP BY l),
+base AS (SELECT r, l, 1 - n_common / n_words::DOUBLE AS p, 1 - known.q AS q, known.q / 2 AS lacking
+  FROM f, known WHERE n_words >= {rules.COMMON_WORDS_FROM}),
+hp AS (SELECT b.r, b.l, h.n / n_words::DOUBLE AS p, coalesce(wref.q, 0) AS q
+  FROM base b JOIN f USING (r) JOIN h USING (r) LEFT JOIN wref ON wref.l = b.l AND wref.x = h.x),
+hs AS (SELECT r, l, sum({halved("p", "q")} - q / 2) AS js FROM hp GROUP BY ALL),
+wl AS (SELECT r, l, lacking + {halved("p", "q")} + coalesce(js, 0) AS js FROM base LEFT JOIN hs USING (r, l)),
 wdist AS (SELECT r, min(round(sqrt(greatest(js, 0)), 6)) AS word_distance FROM wl GROUP BY r),
 j AS (SELECT f3.*, class_distance, word_distance,
     n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed

@@ -1,5 +1,6 @@
 """Rules, line runs, secrets and host graphs against plain Python, and all queries against their SQL twins."""
 
+import base64
 import hashlib
 import importlib
 import re
@@ -51,6 +52,38 @@ def test_texts_far_from_their_language_are_rejected(spark):
     assert found[101]["word_distance"] > quality_rules.WORD_DISTANCE
 
 
+def junk(rng, kind, words):
+    """Text of a kind nobody writes, as long as a document."""
+    pick = lambda n: [str(w) for w in rng.choice(words, n)]
+    if kind == "keywords":
+        return ", ".join(pick(150))
+    if kind == "table":
+        return "\n".join(f"{rng.integers(10**6)} | {rng.random():.3f} | {rng.integers(10**6)}" for _ in range(60))
+    if kind == "base64":
+        return " ".join(base64.b64encode(rng.bytes(45)).decode() for _ in range(70))
+    if kind == "capitals":
+        return " ".join(pick(150)).upper()
+    if kind == "code":
+        return "\n".join(f"x_{k} = f({rng.integers(99)}) + {{'a': [{k}]}};" for k in range(40))
+    return " ".join("".join(chr(int(c)) for c in rng.integers(0x430, 0x44F, 6)) for _ in range(150))
+
+
+@pytest.mark.parametrize("kind", ["keywords", "table", "base64", "capitals", "code", "cyrillic"])
+def test_planted_junk_goes_and_clean_texts_of_four_languages_stay(spark, kind):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").join(spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"), "doc_id")
+    good = [(r["doc_id"], r["text"], r["lang"]) for r in docs.filter("quality = 1").select("doc_id", "text", "lang").collect()]
+    known = {w for own in quality_rules.COMMON_WORDS.values() for w in own}
+    words = sorted({w for _, t, _ in good[:60] for w in WORD.findall(t) if w.isalpha() and w.islower() and len(w) > 4} - known)
+    rng = np.random.default_rng(3)
+    planted = [(10**6 + k, junk(rng, kind, words), ["en", None][k % 2]) for k in range(20)]
+    found = quality_rules.quality_rules(spark.createDataFrame(good + planted, "doc_id long, text string, lang string")).collect()
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert not any(kept[i] for i, _, _ in planted)
+    clean = {lang: [r for r in found if lang == {i: x for i, _, x in good}.get(r["doc_id"]) and not r["base_failed"]] for lang in ("en", "de", "fr", "es")}
+    for rows in clean.values():
+        assert len(rows) > 20 and sum(r["kept"] for r in rows) >= 0.99 * len(rows)
+
+
 def brute_lines(rows, least=line_dedup.MIN_WORDS):
     """Texts without the lines of runs of enough words that occur at an earlier place."""
     lines = {i: [(k, x, len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if WORD.search(x)] for i, t in rows if t}
