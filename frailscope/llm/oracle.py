@@ -118,19 +118,22 @@ base AS (SELECT * FROM a WHERE kind <> 'token'),
 tok AS (SELECT * FROM a WHERE kind = 'token' AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
   AND regexp_matches(value, '[0-9]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.start < a.stop AND a.start < b.stop)),
-c AS (SELECT x.*, coalesce(d.source, '') AS owner FROM (SELECT * FROM base UNION ALL SELECT * FROM tok) x JOIN d USING (r)),
-own AS (SELECT value, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AS live FROM c GROUP BY value),
-k AS (SELECT c.*, live, kind || ':' || start || ':' || stop AS shown FROM c JOIN own USING (value)),
+c AS (SELECT x.*, coalesce(d.source, '') AS owner, coalesce(d.doc_id::VARCHAR, '') AS repository FROM (SELECT * FROM base UNION ALL SELECT * FROM tok) x JOIN d USING (r)),
+counts AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM c GROUP BY value),
+own AS (SELECT *, owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES} * owners AS live FROM counts),
+k AS (SELECT c.*, live, owners, repositories, kind || ':' || start || ':' || stop AS shown FROM c JOIN own USING (value)),
 s AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
     count(*) FILTER (WHERE kind = 'hex') AS n_hex,
     string_agg(shown, ',' ORDER BY start, o, stop) FILTER (WHERE kind <> 'token') AS base,
     string_agg(shown, ',' ORDER BY start, o, stop) FILTER (WHERE kind <> 'token' OR live) AS spans,
     count(*) FILTER (WHERE kind = 'token' AND live) AS n_added, count(*) FILTER (WHERE live) AS n_live,
-    count(*) FILTER (WHERE NOT live) AS n_examples FROM k GROUP BY r)
+    count(*) FILTER (WHERE NOT live) AS n_examples, max(owners) AS most_owners, max(repositories) AS most_repositories
+  FROM k GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
   coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_added, 0)::BIGINT AS n_added, coalesce(n_live, 0)::BIGINT AS n_live,
-  coalesce(n_examples, 0)::BIGINT AS n_examples
+  coalesce(n_examples, 0)::BIGINT AS n_examples, coalesce(most_owners, 0)::BIGINT AS most_owners,
+  coalesce(most_repositories, 0)::BIGINT AS most_repositories
 FROM d LEFT JOIN s USING (r)"""
 
 

@@ -150,6 +150,45 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_one_site_that_pastes_a_key_everywhere_has_no_live_secret(spark):
+    pasted, own = "aZ09bX7cQw8eRt5yUi2o", "Zq81Kd02Lm93Xn47Vb65"
+    rows = [(i, f"see {pasted} here", "site") for i in range(11)] + [(20 + i, f"see {own} here", "site") for i in range(10)]
+    rows += [(20, f"see {own} here", "site")]  # a repeated row is one repository
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert all(found[i]["n_added"] == 0 and found[i]["n_examples"] == 1 for i in range(11))
+    assert all(found[20 + i]["n_added"] == 1 and found[20 + i]["n_live"] == 1 for i in range(10))
+    assert (found[0]["most_owners"], found[0]["most_repositories"]) == (1, 11)
+    assert (found[20]["most_owners"], found[20]["most_repositories"]) == (1, 10)
+    generous = secret_scan.scan(docs, max_repositories=11).filter("doc_id = 0").first()
+    assert generous["n_added"] == 1
+
+
+def test_texts_with_very_many_secrets(spark):
+    """Positions over many blocks, and tokens beside, inside and across base spans."""
+    rng = np.random.default_rng(17)
+    parts = []
+    for k in range(9000):
+        kind = k % 3
+        if kind == 0:
+            parts.append(rng.bytes(16).hex())
+        elif kind == 1:
+            parts.append(f"token=Ab{rng.bytes(9).hex()}Z9é")
+        else:
+            parts.append(f"Qx{rng.bytes(10).hex()}_{'T' if k % 2 else ''}")
+    text = " ".join(parts)
+    found = secret_scan.scan(frame(spark, [(1, text), (2, None)])).collect()
+    one = next(r for r in found if r["doc_id"] == 1)
+    assert one["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert (one["n_hex"], one["n_assign"]) == (3000, 3000)
+    base = [(m.start(), m.end()) for m in ASSIGN.finditer(text)] + [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+    covered = np.zeros(len(text), bool)
+    for s, e in base:
+        covered[s:e] = True
+    tokens = [m for m in re.finditer("[A-Za-z0-9_-]{20,}", text) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    assert one["n_added"] == sum(not covered[m.start() : m.end()].any() for m in tokens) == 3000
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, host string")
 
