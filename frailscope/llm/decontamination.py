@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frailscope.llm.tokens import PUNCTUATION_BREAKS, Words, grams, map_text, pieces_of, text_bytes, words_of
+from frailscope.llm.tokens import PUNCTUATION_BREAKS, Words, grams, map_text, pieces_of, short_batches, text_bytes, words_of
 
 SEED_WORDS = 5
 MIN_COVERAGE = 0.5
@@ -195,7 +195,7 @@ def _adding(docs: DataFrame, block: Benchmark):
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated."""
     for block in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(_clean_rows(docs, block), docs.schema)
+        docs = short_batches(docs).mapInArrow(_clean_rows(docs, block), docs.schema)
     return docs
 
 

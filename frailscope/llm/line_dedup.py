@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frailscope.functions.joins import fits_broadcast
+from frailscope.functions.joins import lookup_join
 from frailscope.llm.tokens import WORD
 from frailscope.sources.scratch import store
 
 MIN_WORDS = 10
+_RANGE_BITS = 12
 _DOCUMENT = ["doc", "doc_print"]
 _PLACE = [*_DOCUMENT, "line_no"]
 
@@ -62,30 +63,45 @@ def _running(amount: str, within: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum(amount).over(frame), F.lit(0))
 
 
-def _first_ranks(lines: DataFrame) -> DataFrame:
-    """(id_a, id_b, rank): the lines before each repeated line in the order of ids.
+def _rows_before(counted: DataFrame, order: list[str]) -> DataFrame:
+    """``counted`` (range, n, ...) with ``rank``: the sum of ``n`` before each row in the order of range, then ``order``.
 
-    Ids are cut into 4096 ranges by their leading bits; running sums go over the ranges, and within
-    each, so no task holds all ids.
+    Running sums go over the 4096 ranges at most, and within each, so no task holds all rows.
     """
-    ids = lines.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ids = store(ids.withColumn("range", F.shiftright("id_a", 52)), "ids")
-    before = ids.groupBy("range").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
+    before = counted.groupBy("range").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
     before = before.select("range", _running("n", ["one"], ["range"]).alias("before"))
-    inside = ids.withColumn("inside", _running("n", ["range"], ["id_a", "id_b"]))
-    return inside.join(before, "range").select("id_a", "id_b", (F.col("before") + F.col("inside")).alias("rank"))
+    inside = counted.withColumn("inside", _running("n", ["range"], order))
+    ranked = lookup_join(inside, before, "range").withColumn("rank", F.col("before") + F.col("inside"))
+    return ranked.drop("range", "n", "before", "inside")
+
+
+def _first_ranks(lines: DataFrame) -> DataFrame:
+    """(id_a, id_b, rank): the lines before each repeated line in the order of ids, cut into ranges by their leading bits."""
+    ids = lines.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ids = store(ids.withColumn("range", F.shiftright("id_a", 64 - _RANGE_BITS)), "ids")
+    return _rows_before(ids, ["id_a", "id_b"])
 
 
 def _doubled(ranks: DataFrame, k: int) -> DataFrame:
-    """``ranks`` with the rank by 2k lines beside that by k; a suffix of fewer lines comes first."""
+    """``ranks`` with the rank by 2k lines beside that by k; a suffix of fewer lines comes first.
+
+    Pairs of ranks are counted first, so an interval of many suffixes is ordered as its few different pairs. A
+    rank that very many different ones follow is cut into ranges like all others: ranges are about equal shares of the suffixes, and
+    such a rank, which has many of them, takes many ranges.
+    """
     along = Window.partitionBy(*_DOCUMENT).orderBy("line_no")
     here, there = f"rank_{k}", F.lead(f"rank_{k}", k).over(along)
     follows = F.lead("line_no", k).over(along) == F.col("line_no") + k
     pairs = store(ranks.withColumn("next", F.when(follows, there).otherwise(F.lit(-1))), "pairs")
-    # Pairs are counted first, so an interval of many suffixes is ordered as its few different pairs.
-    order = pairs.groupBy(here, "next").agg(F.count(F.lit(1)).alias("n"))
-    order = order.select(here, "next", (F.col(here) + _running("n", [here], ["next"])).alias(f"rank_{2 * k}"))
-    return pairs.join(store(order, "order"), [here, "next"]).drop("next")
+    order = store(pairs.groupBy(here, "next").agg(F.count(F.lit(1)).alias("n")), "order")
+    sizes = store(order.groupBy(here).agg(F.sum("n").alias("size")), "sizes")
+    end = sizes.agg(F.max(F.col(here) + F.col("size"))).first()[0] or 1
+    # Grows with (here, next): the next rank has more than ``size`` suffixes before it.
+    place = F.col(here) + F.col("size") * ((F.col("next") + 1) / F.lit(end + 1.0))
+    range_ = F.floor(place * F.lit((1 << _RANGE_BITS) / float(end))).cast("int")
+    order = lookup_join(order, sizes, here).select(here, "next", "n", range_.alias("range"))
+    order = _rows_before(order, [here, "next"]).withColumnRenamed("rank", f"rank_{2 * k}")
+    return lookup_join(pairs, order, [here, "next"]).drop("next")
 
 
 def _stretches(ranks: DataFrame, min_words: int) -> DataFrame:
@@ -122,7 +138,7 @@ def _stretches(ranks: DataFrame, min_words: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, doc_print, deleted): per document the places of the lines that belong to later copies."""
     lines = store(_lines(docs), "lines")
-    ranks = lines.join(store(_first_ranks(lines), "ranks"), ["id_a", "id_b"])
+    ranks = lookup_join(lines, _first_ranks(lines), ["id_a", "id_b"])
     ranks = ranks.select(*_PLACE, "at", "words", F.col("rank").alias("rank_1")).dropDuplicates(_PLACE)
     ranks = store(ranks, "ranked")
     k = 1
@@ -153,8 +169,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = store(named, "named")
     name = ["m", "left", "right"]
     first = named.groupBy(*name).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = store(first.filter("copies > 1").select(*name, "first"), "first")
-    later = named.join(first, name).filter(F.struct(*_PLACE) != F.col("first"))
+    first = first.filter("copies > 1").select(*name, "first")
+    later = lookup_join(named, first, name).filter(F.struct(*_PLACE) != F.col("first"))
     covered = later.select(*_DOCUMENT, F.explode(F.sequence("line_no", F.col("line_no") + m - 1)).alias("line_no")).distinct()
     gone = covered.join(ranks.select(*_PLACE, "at"), _PLACE)
     return store(gone.groupBy(*_DOCUMENT).agg(F.sort_array(F.collect_list("at")).alias("deleted")), "deleted")
@@ -170,11 +186,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     other texts are ordered by a hash of the text. Adds ``n_lines`` (lines with a word) and ``n_deleted``.
     """
     gone = repeated_lines(docs, min_words)
-    small = F.broadcast(gone) if fits_broadcast(gone) else gone
     columns = docs.columns
     fresh = {c: f"__{c}" for c in columns}
     renamed = docs.select(F.col("doc_id"), F.col("text"), F.struct("*").alias("__row"))
-    joined = _named(renamed).join(small, _DOCUMENT, "left")
+    joined = lookup_join(_named(renamed), gone, _DOCUMENT, "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("deleted", i))
     text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from frailscope.functions.joins import lookup_join
 from frailscope.llm.components import connected_components
-from frailscope.llm.tokens import grams, map_text, mix, pieces_of, segments, signed, text_bytes, words_of
+from frailscope.llm.tokens import give_back, grams, map_text, mix, pieces_of, segments, short_batches, signed, text_bytes, words_of
 from frailscope.sources.scratch import store
 
 SHINGLE_WORDS = 5
@@ -436,6 +436,7 @@ def _compare(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 arrays += [pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(bins, pa.list_(pa.int64()))]
                 arrays += [pa.array(values[:, j]) for j in range(values.shape[1])]
                 yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "n", "linked", "bins", *_BOUND_COLUMNS])
+        give_back()
 
     bounds_schema = ", ".join(f"{c} long" for c in _BOUND_COLUMNS)
-    return wanted.mapInArrow(compare, f"a long, b long, n long, linked boolean, bins array<long>, {bounds_schema}")
+    return short_batches(wanted).mapInArrow(compare, f"a long, b long, n long, linked boolean, bins array<long>, {bounds_schema}")

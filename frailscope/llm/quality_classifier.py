@@ -28,6 +28,7 @@ from frailscope.llm.tokens import (
     pieces_of,
     prefix_hashes,
     segments,
+    short_batches,
     span_hashes,
     text_bytes,
     words_of,
@@ -312,4 +313,4 @@ def accepted(docs: DataFrame, model: AdditiveModel | float) -> DataFrame:
             for part in pieces_of(batch):
                 yield part.filter(pa.array(_chance(shared.value, part.column("text")) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)

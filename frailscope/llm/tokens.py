@@ -7,6 +7,7 @@ of two prefix sums, so no Python loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -212,6 +213,29 @@ def pieces_of(batch: pa.RecordBatch, text: str = "text", most_bytes: int = 1 <<
         at = upto
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most ``rows`` rows unless the user has chosen a number.
+
+    Spark's ten thousand rows are meant for numbers; with texts they take tens of megabytes in every task, on both sides.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_ARROW_ROWS)) == 10_000:
+        conf.set(_ARROW_ROWS, str(rows))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; Spark uses its Python workers again and again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not with this C library
+        pass
+
+
 def map_text(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text"
 ) -> DataFrame:
@@ -223,8 +247,9 @@ def map_text(
                 out = function(part)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)
 
 
 def signed(values: np.ndarray) -> pa.Array:
