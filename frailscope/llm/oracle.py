@@ -137,22 +137,21 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN s USING (r)"""
 
 
+_SQL_ROUNDS = 160
+
+
 def _spread(name: str, links: str, seeds: str) -> str:
-    """The ranks ``name`` (host, rank), each round written out."""
-    parts = [
-        f"{name}_s AS (SELECT host, count(*)::DOUBLE / sum(count(*)) OVER () AS start FROM p WHERE own = '{seeds}' AND host <> '' GROUP BY host)",
-        f"{name}_l AS (SELECT source, target, links::DOUBLE / sum(links) OVER (PARTITION BY source) AS share FROM ({links}))",
-        f"{name}_0 AS (SELECT host, start AS rank FROM {name}_s)",
-    ]
-    for i in range(urls.ROUNDS):
-        parts.append(
-            f"{name}_{i + 1} AS (SELECT coalesce(m.host, s.host) AS host,"
-            f" {urls.DAMPING} * coalesce(moved, 0) + {1 - urls.DAMPING} * coalesce(start, 0) AS rank"
-            f" FROM (SELECT target AS host, sum(rank * share) AS moved FROM {name}_{i} JOIN {name}_l ON host = source GROUP BY target) m"
-            f" FULL JOIN {name}_s s ON m.host = s.host)"
-        )
-    parts.append(f"{name} AS (SELECT host, rank / sum(rank) OVER () AS rank FROM {name}_{urls.ROUNDS})")
-    return ",\n".join(parts)
+    """The ranks ``name`` (host, rank) after so many rounds that they do not change any more; host * restarts."""
+    damping = urls.DAMPING
+    return f"""
+{name}_s AS (SELECT host, count(*)::DOUBLE / sum(count(*)) OVER () AS start FROM p WHERE own = '{seeds}' AND host <> '' GROUP BY host),
+{name}_w AS (SELECT source, target, {damping} * links::DOUBLE / sum(links) OVER (PARTITION BY source) AS w FROM ({links})
+  UNION ALL SELECT '*', host, (1 - {damping}) * start FROM {name}_s UNION ALL SELECT '*', '*', 1.0::DOUBLE),
+{name}_r(round, host, rank) AS (
+  (SELECT 0, host, start FROM {name}_s UNION ALL SELECT 0, '*', 1.0::DOUBLE)
+  UNION ALL
+  SELECT round + 1, target, sum(rank * w) FROM {name}_r JOIN {name}_w ON host = source WHERE round < {_SQL_ROUNDS} GROUP BY round, target),
+{name} AS (SELECT host, rank / sum(rank) OVER () AS rank FROM {name}_r WHERE round = {_SQL_ROUNDS} AND host <> '*')"""
 
 
 def _url_filter() -> str:
@@ -167,24 +166,31 @@ def _url_filter() -> str:
     host = "coalesce(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), '')"
     href = urls._HREF.replace("'", "''")
     forward, back = "SELECT source, target, links FROM links", "SELECT target AS source, source AS target, links FROM links"
+    suffixes = ", ".join(f"'{x}'" for x in urls.PUBLIC_SUFFIXES)
     return rf"""
-WITH u AS (SELECT page_id, html, {lower.format(host.format("url"))} AS host,
+WITH RECURSIVE u AS (SELECT page_id, html, {lower.format(host.format("url"))} AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 p AS (SELECT *, CASE {name} END AS rule, CASE {own} END AS own FROM u),
 hosts AS (SELECT DISTINCT host FROM p WHERE host <> ''),
 h AS (SELECT host AS source, {lower.format(host.format("x"))} AS target
   FROM (SELECT host, unnest(regexp_extract_all(html, '{href}', 1)) AS x FROM p WHERE host <> '')),
+chains AS (SELECT list_filter(list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.')),
+    lambda x: contains(x, '.') AND x NOT IN ({suffixes})) AS names
+  FROM (SELECT string_split(host, '.') AS labels FROM hosts WHERE NOT regexp_full_match(host, '[0-9.]+(:[0-9]*)?'))),
+steps AS (SELECT names[i] AS child, names[i + 1] AS parent FROM (SELECT names, unnest(range(1, len(names))) AS i FROM chains)),
+parents AS (SELECT DISTINCT child AS source, parent AS target FROM steps UNION SELECT parent, child FROM steps),
 links AS (SELECT source, target, sum(n) AS links FROM (
     SELECT source, target, count(*) AS n FROM h WHERE target <> '' AND source <> target GROUP BY ALL
-    UNION ALL
-    SELECT a.host, b.host, 1 FROM hosts a JOIN hosts b ON regexp_extract(a.host, '^[^.]+\.(.+)$', 1) = b.host) GROUP BY ALL),
+    UNION ALL SELECT source, target, 1 FROM parents) GROUP BY ALL),
 {_spread("trust", forward, "allow")},
 {_spread("distrust", back, "block")},
-j AS (SELECT p.*, round(coalesce(t.rank, 0), 9) AS trust, round(coalesce(d.rank, 0), 9) AS distrust
+seeds AS (SELECT count(DISTINCT host) AS n FROM p WHERE own = 'block' AND host <> ''),
+j AS (SELECT p.*, coalesce(t.rank, 0) AS trust, coalesce(d.rank, 0) AS distrust
   FROM p LEFT JOIN trust t USING (host) LEFT JOIN distrust d USING (host))
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust > {urls.MIN_DISTRUST} AND distrust > trust THEN 'block'
-  ELSE 'allow' END) AS verdict, trust, distrust
-FROM j"""
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust * n > {urls.MIN_DISTRUST}
+    AND distrust > trust * (1 + {urls._EQUAL}) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(trust, 6) AS trust, round(distrust, 6) AS distrust
+FROM j, seeds"""
 
 
 def _prefix_trie() -> str:

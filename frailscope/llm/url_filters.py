@@ -7,7 +7,8 @@ distrust is above its trust and above a fixed share of what a host of blocked pa
 average, so the size of the graph does not matter; pages that no rule fits get that verdict.
 
 Links are those between different hosts in the pages, counted once per pair of hosts and weighted by
-number, and a link from each host to its parent domain if that is a host as well.
+number, and links in both directions between each host and its parent domains, whether they have pages or
+not, up to the name below a public suffix. So the hosts of one domain share some of their trust and distrust.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frailscope.functions.joins import fits_broadcast, lookup_join
 from frailscope.sources.scratch import store
 
 
@@ -39,9 +41,16 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
 MIN_DISTRUST = 0.001
-_EQUAL = 1e-9
+# The ranks are final when a round moves less than this part of all rank.
+TOLERANCE = 1e-10
+_ROUNDS_AT_ONCE = 8
+_EQUAL = 1e-6
+# Names of two labels under which anybody can have a domain; names of one label are such anyway.
+PUBLIC_SUFFIXES = (
+    "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp or.jp ne.jp com.br com.cn co.in co.kr co.nz co.za "
+    "github.io gitlab.io blogspot.com wordpress.com netlify.app web.app herokuapp.com"
+).split()
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HREF = "(?i)href\\s*=\\s*[\"']?([A-Za-z][A-Za-z0-9+.-]*://[^\"'\\s>]+)"
 
@@ -74,48 +83,72 @@ def host_links(pages: DataFrame) -> DataFrame:
     linked = pairs.filter("target <> '' and source <> target").groupBy("source", "target").agg(
         F.count(F.lit(1)).alias("links")
     )
-    hosts = pages.filter("host <> ''").select("host").distinct()
-    parents = hosts.select(F.col("host").alias("source"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("target"))
-    parents = parents.join(hosts.withColumnRenamed("host", "target"), "target").select("source", "target", F.lit(1).alias("links"))
-    return linked.union(parents).groupBy("source", "target").agg(F.sum("links").alias("links"))
+    return linked.union(_parent_links(pages)).groupBy("source", "target").agg(F.sum("links").alias("links"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _parent_links(pages: DataFrame) -> DataFrame:
+    """Links of weight 1 between each host name and the name without its first label, in both directions.
+
+    Numbers are no names, and public suffixes no parents.
+    """
+    hosts = pages.filter("host <> '' and not host rlike '^[0-9.]+(:[0-9]*)?$'").select("host").distinct()
+    suffixes = ", ".join(f"'{s}'" for s in PUBLIC_SUFFIXES)
+    names = F.expr(
+        "filter(transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.')),"
+        f" x -> contains(x, '.') and x not in ({suffixes}))"
+    )
+    chains = hosts.select(F.split("host", "[.]").alias("labels")).select(names.alias("names"))
+    pairs = F.expr(
+        "flatten(transform(sequence(0, size(names) - 2), i -> array("
+        "struct(names[i] as source, names[i + 1] as target), struct(names[i + 1] as source, names[i] as target))))"
+    )
+    return chains.filter("size(names) > 1").select(F.explode(pairs).alias("p")).select(
+        "p.source", "p.target", F.lit(1).alias("links")
+    ).distinct()
+
+
+def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, rank) of a PageRank that restarts at the ``seeds`` (host, weight), over links (source, target, links).
 
+    It goes on until a round moves less than ``TOLERANCE`` of the rank, or for just so many ``rounds``.
     The ranks are scaled to a sum of one at the end, which is as if the weight that reaches hosts
-    without outgoing links went back to the seeds; without seeds there are none. Each round is two
-    joins and an aggregation with a map-side part; the ranks are stored after every fourth.
+    without outgoing links went back to the seeds; without seeds there are none. Each round is
+    a join and an aggregation with a map-side part; the ranks are stored after every eighth.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
     start = store(seeds.groupBy("host").agg((F.sum("weight") / F.lit(float(total))).alias("start")), "start")
     out = links.groupBy("source").agg(F.sum("links").alias("all"))
-    share = store(
-        links.join(out, "source").select("source", "target", (F.col("links") / F.col("all")).alias("share")), "share"
-    )
+    share = links.join(out, "source").select("source", "target", (F.col("links") / F.col("all")).alias("share"))
+    share = store(share, "share")
+    share = F.broadcast(share) if fits_broadcast(share) else share
+    restart = start.select("host", ((1 - damping) * F.col("start")).alias("rank"))
     ranks = start.select("host", F.col("start").alias("rank"))
-    for turn in range(rounds):
-        moved = (
-            ranks.join(share, ranks["host"] == share["source"])
-            .groupBy(F.col("target").alias("host"))
-            .agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
-        )
-        rank = damping * F.coalesce("moved", F.lit(0.0)) + (1 - damping) * F.coalesce("start", F.lit(0.0))
-        ranks = moved.join(start, "host", "full").select("host", rank.alias("rank"))
-        if turn % 4 == 3 or turn == rounds - 1:
-            ranks = store(ranks, "ranks")
+    turn = 0
+    while rounds is None or turn < rounds:
+        step = _ROUNDS_AT_ONCE if rounds is None else min(_ROUNDS_AT_ONCE, rounds - turn)
+        before, turn = ranks, turn + step
+        for _ in range(step):
+            moved = ranks.join(share, ranks["host"] == share["source"]).select(
+                F.col("target").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank")
+            )
+            ranks = moved.union(restart).groupBy("host").agg(F.sum("rank").alias("rank"))
+        ranks = store(ranks, "ranks")
+        if rounds is None:
+            change = ranks.union(before.select("host", -F.col("rank"))).groupBy("host").agg(F.sum("rank").alias("change"))
+            if (change.agg(F.sum(F.abs("change"))).first()[0] or 0.0) <= TOLERANCE:
+                break
     total = ranks.agg(F.sum("rank")).first()[0]
     return ranks.select("host", (F.col("rank") / F.lit(float(total))).alias("rank"))
 
 
-def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (page_id, url, html).
 
     A null url, or one without ``://``, has an empty host and path; no rule fits it, it takes no
     part in the graph, and it is allowed. A null html has no links. ``trust`` and ``distrust`` are
-    the ranks of the page's host, rounded to nine digits after the verdict. Rows are judged one by one; a repeated
+    the ranks of the page's host, rounded to six digits after the verdict. Rows are judged one by one; a repeated
     row weighs twice as a seed.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
@@ -128,11 +161,11 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     def seeds(verdict: str) -> DataFrame:
         return known.filter((F.col("own") == verdict) & (F.col("host") != "")).groupBy("host").agg(F.count(F.lit(1)).alias("weight"))
 
-    trust = spread(links, seeds("allow"), rounds).withColumnRenamed("rank", "trust")
+    trust = spread(links, seeds("allow")).withColumnRenamed("rank", "trust")
     back = links.select(F.col("target").alias("source"), F.col("source").alias("target"), "links")
-    distrust = spread(back, seeds("block"), rounds).withColumnRenamed("rank", "distrust")
-    scores = store(trust.join(distrust, "host", "full"), "scores")
-    judged = known.join(scores, "host", "left").withColumns(
+    distrust = spread(back, seeds("block")).withColumnRenamed("rank", "distrust")
+    scores = trust.join(distrust, "host", "full")
+    judged = lookup_join(known, scores, "host", "left").withColumns(
         {c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")}
     )
     # The ranks sum to one over all hosts, so they are held against the mean start of a seed, before
@@ -140,5 +173,5 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int =
     seed_hosts = known.filter((F.col("own") == "block") & (F.col("host") != "")).select("host").distinct().count()
     bad = (F.col("distrust") * seed_hosts > MIN_DISTRUST) & (F.col("distrust") > F.col("trust") * (1 + _EQUAL))
     verdict = F.coalesce("own", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
-    rounded = (F.round(c, 9).alias(c) for c in ("trust", "distrust"))
+    rounded = (F.round(c, 6).alias(c) for c in ("trust", "distrust"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), *rounded)

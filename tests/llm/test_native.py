@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import DATA
@@ -260,6 +261,48 @@ def test_verdicts_do_not_depend_on_the_size_of_the_graph(spark):
         assert verdicts == {(0, "block"), (1, "block"), (2, "allow"), (3, "allow")}
 
 
+def test_parents_connect_the_hosts_of_a_domain(spark):
+    """Siblings share trust through a parent without pages; names under a public suffix and numbers do not."""
+    rows = [
+        (1, "http://a.site.net/x", None),
+        (2, "http://spam.com/de/1", "<a href='http://b.site.net/'>"),
+        (3, "http://b.site.net/x", "<a href='http://spam.com/de/1'>"),
+        (4, "http://deep.c.site.net/x", None),
+        (5, "http://x.blogspot.com/de/1", None),
+        (6, "http://y.blogspot.com/1", None),
+        (7, "http://1.2.3.4/1", None),
+        (8, "http://5.2.3.4/1", "<a href='http://spam.com/de/1'>"),
+    ]
+    found = {r["page_id"]: r for r in url_filters.url_filter(pages(spark, rows)).collect()}
+    assert {i: found[i]["verdict"] for i in found} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "block"}
+    assert found[3]["distrust"] > found[1]["distrust"] > found[4]["distrust"] > 0 == found[6]["distrust"] == found[7]["distrust"]
+
+
+def test_a_graph_of_many_hosts_against_sql(spark):
+    """2,500 hosts with absolute links, rings, parents with and without pages, and seeds of both kinds."""
+    rng = np.random.default_rng(19)
+    names = [f"h{k}.{'abc'[k % 3]}{k % 400}.{['com', 'net', 'org'][k % 3]}" for k in range(2500)] + [f"a{k}.com" for k in range(0, 400, 7)]
+    rows = []
+    for i, host in enumerate(names):
+        targets = rng.choice(len(names), int(rng.integers(0, 4)))
+        links = "".join(f"<a href='http://{names[t]}/x'>" for t in targets) + f"<a href=http://{names[(i + 1) % 50]}/>"
+        path = ["de/1", "fr/1", "x", "y/z"][int(rng.integers(4))]
+        rows.append((i, f"http://{host}/{path}", links if i % 5 else None))
+    con = duckdb.connect()
+    con.register("rows", pa.table({c: [r[k] for r in rows] for k, c in enumerate(("page_id", "url", "html"))}))
+    con.sql("CREATE VIEW pages AS SELECT * FROM rows")
+    theirs = con.execute(entry.oracle_sql()["op8_link_graph_url_filter"]).df().sort_values("page_id")
+    ours = {r["page_id"]: r for r in url_filters.url_filter(pages(spark, rows)).collect()}
+    assert len(ours) == len(theirs) == len(names)
+    changed = 0
+    for r in theirs.itertuples():
+        own = ours[r.page_id]
+        assert (own["host"], own["verdict"]) == (r.host, r.verdict)
+        assert own["trust"] == pytest.approx(r.trust, abs=2e-6) and own["distrust"] == pytest.approx(r.distrust, abs=2e-6)
+        changed += own["rule"] is None and own["verdict"] == "block"
+    assert 100 < changed < 1500
+
+
 def test_ranks_are_those_of_power_iteration(spark):
     rng = np.random.default_rng(12)
     edges = {(int(a), int(b)): int(n) for a, b, n in rng.integers(0, 8, (20, 3)) + [0, 0, 1] if a != b}
@@ -277,6 +320,11 @@ def test_ranks_are_those_of_power_iteration(spark):
     found = {r["host"]: r["rank"] for r in url_filters.spread(links, seeds, rounds=6).collect()}
     for i, value in enumerate(rank / rank.sum()):
         assert found.get(str(i), 0.0) == pytest.approx(value)
+    for _ in range(200):
+        rank = 0.85 * rank @ share + 0.15 * start
+    found = {r["host"]: r["rank"] for r in url_filters.spread(links, seeds).collect()}
+    for i, value in enumerate(rank / rank.sum()):
+        assert found.get(str(i), 0.0) == pytest.approx(value, abs=1e-8)
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
