@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -58,7 +58,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
     The rows survive the loss of executors, and nothing computed before them is computed again.
     """
-    target = f"{scratch_folder(df.sparkSession)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
+    return _store_in(_scope.get(), df, name)
+
+
+def _store_in(scope: str, df: DataFrame, name: str) -> DataFrame:
+    target = f"{scratch_folder(df.sparkSession)}{scope}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
@@ -71,12 +75,17 @@ def store_and_measure(df: DataFrame, name: str, **measures: Column) -> tuple[Dat
 
 
 @contextmanager
-def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what was stored inside; write results that read it elsewhere before that."""
-    own = _scope.set(f"{_scope.get()}/scope-{uuid.uuid4().hex}")
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete at the end what was stored inside.
+
+    Results that read it must be written elsewhere before that; the function given, used like :func:`store`, keeps them
+    where the scope began.
+    """
+    outer = _scope.get()
+    own = _scope.set(f"{outer}/scope-{uuid.uuid4().hex}")
     folder = f"{scratch_folder(spark)}{_scope.get()}"
     try:
-        yield
+        yield lambda df, name: _store_in(outer, df, name)
     finally:
         _scope.reset(own)
         Folders(spark).delete(folder)

@@ -176,8 +176,9 @@ def test_a_scope_deletes_what_it_stored(spark, folder, monkeypatch):
     outer = scratch.store(spark.range(4), "outer")
     with scratch.scratch_scope(spark):
         inner = scratch.store(spark.range(3), "inner")
-        with scratch.scratch_scope(spark):
-            scratch.store(inner, "innermost")
+        with scratch.scratch_scope(spark) as keep:
+            passed_on = keep(scratch.store(inner, "innermost"), "passed_on")
+        assert passed_on.count() == 3
         inner.write.parquet(f"{folder}/kept")
     assert outer.count() == 4 and spark.read.parquet(f"{folder}/kept").count() == 3
     assert len(list(Path(folder, "own").iterdir())) == 1
