@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frailscope.functions.joins import lookup_join
-from frailscope.llm.components import connected_components
+from frailscope.llm.components import connected_components, merged_components
 from frailscope.llm.tokens import give_back, grams, map_text, mix, pieces_of, segments, short_batches, signed, text_bytes, words_of
-from frailscope.sources.scratch import store
+from frailscope.sources.scratch import scratch_scope, store
 
 SHINGLE_WORDS = 5
 BINS = 128
@@ -239,6 +239,15 @@ def _links(docs: DataFrame, classes: DataFrame, every_pair: bool) -> DataFrame:
         known = components.select(F.col("node").alias(name), "component")
         return lookup_join(rows, known, name, "left").withColumn("component", F.coalesce("component", name))
 
+    def compare_more(fresh: DataFrame) -> DataFrame:
+        """Compare the pairs, and return the components with the new links."""
+        if fresh.isEmpty():
+            return components
+        with scratch_scope(docs.sparkSession) as keep:
+            compared.append(keep(_compare(texts, fresh), "compared"))
+        new = compared[-1].filter("linked")
+        return components if new.isEmpty() else merged_components(components, new)
+
     components = connected_components(links())
     members = store(placed(live.select("key", "class", "n")), "placed")
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
@@ -253,9 +262,7 @@ def _links(docs: DataFrame, classes: DataFrame, every_pair: bool) -> DataFrame:
     spokes = stars.select("key", "class", "a").join(mixed.select("key", "class", "component"), ["key", "class"])
     spokes = placed(spokes.withColumnRenamed("component", "own").drop("key"), "a").filter("own <> component")
     fresh = _fresh(spokes.select("a", F.col("class").alias("b")), compared)
-    if not fresh.isEmpty():
-        compared.append(store(_compare(texts, fresh), "compared"))
-        components = connected_components(links())
+    components = compare_more(fresh)
 
     # Members of mixed buckets that differ from one centre in the same way.
     alive = store(mixed.select("class").distinct(), "alive")
@@ -263,9 +270,7 @@ def _links(docs: DataFrame, classes: DataFrame, every_pair: bool) -> DataFrame:
         fresh = _alike(compared, alive, agreeing, placed)
         if fresh is None:
             break
-        if not fresh.isEmpty():
-            compared.append(store(_compare(texts, fresh), "compared"))
-            components = connected_components(links())
+        components = compare_more(fresh)
     return links()
 
 
@@ -284,6 +289,14 @@ def _alike(compared: list[DataFrame], alive: DataFrame, agreeing: int, placed: C
     A bucket has the classes whose differences from one centre agree in ``agreeing`` neighbouring bins. Its star's
     centre is the class that differs least.
     """
+    with scratch_scope(alive.sparkSession) as keep:
+        fresh = _alike_inside(compared, alive, agreeing, placed)
+        return None if fresh is None else keep(fresh, "fresh")
+
+
+def _alike_inside(
+    compared: list[DataFrame], alive: DataFrame, agreeing: int, placed: Callable[..., DataFrame]
+) -> DataFrame | None:
     known = compared[0]
     for more in compared[1:]:
         known = known.union(more)
