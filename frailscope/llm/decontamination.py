@@ -30,6 +30,7 @@ SEED_WORDS = 5
 MIN_COVERAGE = 0.5
 BLOCK_WORDS = 200_000
 _BITS = 20
+_PAIRS_AT_ONCE = 1 << 20
 
 
 class Benchmark(NamedTuple):
@@ -48,7 +49,11 @@ def _tokens(texts: pa.Array) -> Words:
 
 
 def index_benchmark(ids: list[str], texts: list[str | None]) -> Benchmark:
-    """Items without a token match nothing; items of fewer than five tokens match as a whole."""
+    """Items without a token match nothing.
+
+    Items of fewer than five tokens are found only in documents that consist of nothing else: inside longer texts, one to four words
+    in a row say nothing about where they come from.
+    """
     words = _tokens(pa.array(texts, pa.string()))
     seed, first = grams(words, SEED_WORDS)
     item = np.repeat(np.arange(len(ids)), np.diff(first))
@@ -73,32 +78,64 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
             yield index_benchmark([str(r["item_id"]) for r in found], [r["text"] for r in found])
 
 
-def tile(document: np.ndarray, item: np.ndarray, at_document: np.ndarray, at_item: np.ndarray, least: int) -> list:
-    """Greedy string tiling of two token sequences from their shared seeds of ``least`` tokens.
+def seed_runs(spots: np.ndarray, marks: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(start in the document, start in the item, seeds in a row) of the stretches where both go on with equal seeds.
+
+    The document has the seed ``marks`` at its places ``spots``, in ascending order; the item has ``seeds``, sorted, at ``places``.
+    Pairs of equal seeds are looked at in slices of the document, and only the stretches are kept, so a text that
+    repeats the item's words thousands of times takes no more memory than others.
+    """
+    low = np.searchsorted(seeds, marks)
+    counts = np.searchsorted(seeds, marks, side="right") - low
+    upto = np.cumsum(counts)
+    found, at = [np.zeros((0, 3), np.int64)], 0
+    while at < len(spots):
+        begin = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, begin + _PAIRS_AT_ONCE, side="right")))
+        in_document = np.repeat(spots[at:end], counts[at:end])
+        in_item = places[np.repeat(low[at:end], counts[at:end]) + _counting(counts[at:end])]
+        found.append(_stretches(in_document, in_item, np.ones(len(in_item), np.int64)))
+        at = end
+    joined = np.concatenate(found)
+    return _stretches(joined[:, 0], joined[:, 1], joined[:, 2])
+
+
+def _counting(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of ``counts``, end to end."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _stretches(in_document: np.ndarray, in_item: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of one diagonal that follow each other, made one."""
+    if not len(in_item):
+        return np.zeros((0, 3), np.int64)
+    diagonal = in_document - in_item
+    order = np.lexsort((in_item, diagonal))
+    diagonal, in_document, in_item, length = diagonal[order], in_document[order], in_item[order], length[order]
+    apart = (np.diff(diagonal) != 0) | (np.diff(in_item) != length[:-1])
+    first = np.concatenate([[0], np.flatnonzero(apart) + 1])
+    return np.column_stack([in_document[first], in_item[first], np.add.reduceat(length, first)])
+
+
+def tile(document_tokens: int, item_tokens: int, runs: np.ndarray, least: int) -> list:
+    """Greedy string tiling from the stretches of shared seeds of ``least`` tokens.
 
     Returns tiles (start in the document, start in the item, length). Of equally long matches the
     one that begins earlier in the item, then in the document, is taken.
     """
-    diagonal = at_document - at_item
-    order = np.lexsort((at_item, diagonal))
-    diagonal, at_document, at_item = diagonal[order], at_document[order], at_item[order]
-    breaks = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(at_item) != 1)) + 1
-    begin = np.concatenate([[0], breaks])
-    stop = np.concatenate([breaks, [len(at_item)]])
-    queue = [
-        (-(e - b + least - 1), int(at_item[b]), int(at_document[b]))
-        for b, e in zip(begin.tolist(), stop.tolist(), strict=True)
-    ]
+    queue = [(-(n + least - 1), i, d) for d, i, n in runs.tolist()]
     heapq.heapify(queue)
-    free_document, free_item = np.ones(len(document), bool), np.ones(len(item), bool)
+    free_document, free_item = np.ones(document_tokens, bool), np.ones(item_tokens, bool)
+    left = item_tokens
     tiles = []
-    while queue:
+    while queue and left >= least:
         length, i, d = heapq.heappop(queue)
         length = -length
         free = free_document[d : d + length] & free_item[i : i + length]
         if free.all():
             free_document[d : d + length] = False
             free_item[i : i + length] = False
+            left -= length
             tiles.append((d, i, length))
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
@@ -109,40 +146,43 @@ def tile(document: np.ndarray, item: np.ndarray, at_document: np.ndarray, at_ite
 
 
 def matches(batch: pa.RecordBatch, block: Benchmark) -> tuple[Words, dict[int, list[tuple[str, float, list]]]]:
-    """Per row the items (id, coverage, tiles) that its text covers by at least half."""
+    """Per row the items (id, coverage, tiles) that its text covers by at least half.
+
+    Every row is worked on by itself, first with each of its different seeds once: they say which
+    tokens of an item can be covered at all. Only items of which that is half are tiled.
+    """
     words = _tokens(batch.column("text"))
     found: dict[int, list] = defaultdict(list)
     hashes, first = grams(words, SEED_WORDS)
     spots = np.flatnonzero(block.filter[(hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-    low = np.searchsorted(block.seed, hashes[spots])
-    counts = np.searchsorted(block.seed, hashes[spots], side="right") - low
-    spots, low, counts = spots[counts > 0], low[counts > 0], counts[counts > 0]
-    if not len(spots):
-        return words, found
-    posting = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    spots = np.repeat(spots, counts)
-    row = np.searchsorted(first, spots, side="right") - 1
-    item, at_item = block.item[posting], block.place[posting]
-    at_document = spots - first[row]
-    order = np.lexsort((item, row))
-    row, item, at_document, at_item = row[order], item[order], at_document[order], at_item[order]
-    breaks = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-    begin = np.concatenate([[0], breaks]).tolist()
-    stop = np.concatenate([breaks, [len(row)]]).tolist()
-    for b, e in zip(begin, stop, strict=True):
-        own = block.words[item[b]]
-        least = min(SEED_WORDS, len(own))
-        # No tiling covers more than the union of the seeds.
-        reach = np.zeros(len(own) + 1, np.int64)
-        np.add.at(reach, at_item[b:e], 1)
-        np.add.at(reach, at_item[b:e] + least, -1)
-        if np.count_nonzero(np.cumsum(reach)) < MIN_COVERAGE * len(own):
-            continue
-        text = words.hashes[words.first[row[b]] : words.first[row[b] + 1]]
-        tiles = tile(text, own, at_document[b:e], at_item[b:e], least)
-        coverage = sum(t[2] for t in tiles) / len(own)
-        if coverage >= MIN_COVERAGE:
-            found[int(row[b])].append((block.ids[item[b]], coverage, sorted(tiles)))
+    low = np.minimum(np.searchsorted(block.seed, hashes[spots]), max(len(block.seed) - 1, 0))
+    spots = spots[block.seed[low] == hashes[spots]] if len(block.seed) else spots[:0]
+    rows = np.searchsorted(first, spots, side="right") - 1
+    bounds = np.flatnonzero(np.concatenate([[True], np.diff(rows) != 0, [True]])) if len(rows) else np.zeros(1, np.int64)
+    for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        row = int(rows[b])
+        marks = hashes[spots[b:e]]
+        different = np.unique(marks)
+        low = np.searchsorted(block.seed, different)
+        counts = np.searchsorted(block.seed, different, side="right") - low
+        posting = np.repeat(low, counts) + _counting(counts)
+        posting = posting[np.lexsort((block.place[posting], block.item[posting]))]
+        items, start = np.unique(block.item[posting], return_index=True)
+        for item, own_seeds in zip(items.tolist(), np.split(posting, start[1:])):
+            own = block.words[item]
+            least = min(SEED_WORDS, len(own))
+            # No tiling covers more than the union of the seeds.
+            reach = np.zeros(len(own) + 1, np.int64)
+            np.add.at(reach, block.place[own_seeds], 1)
+            np.add.at(reach, block.place[own_seeds] + least, -1)
+            if np.count_nonzero(np.cumsum(reach)) < MIN_COVERAGE * len(own):
+                continue
+            own_seeds = own_seeds[np.argsort(block.seed[own_seeds], kind="stable")]
+            runs = seed_runs(spots[b:e] - first[row], marks, block.seed[own_seeds], block.place[own_seeds])
+            tiles = tile(int(words.counts[row]), len(own), runs, least)
+            coverage = sum(t[2] for t in tiles) / len(own)
+            if coverage >= MIN_COVERAGE:
+                found[row].append((block.ids[item], coverage, sorted(tiles)))
     return words, found
 
 
@@ -152,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Tokens are runs of characters other than ASCII punctuation and white space, with A-Z as a-z.
     ``items`` lists the ids of the covered items in text order, comma-joined, ``coverage`` is the
     largest covered share of an item, and ``tiles`` has ``item:start:end`` in tokens of the
-    document for every tile. Null or empty texts are never contaminated; null benchmark texts are
+    document for every tile. Items of one to four tokens are found only in documents of just these tokens. Null or empty texts are never contaminated; null benchmark texts are
     left out; equal items are found separately. Rows are judged one by one, so repeated or null ids
     do not matter.
     """

@@ -1,6 +1,7 @@
 """Words, links, near copies, benchmark passages and pieces against brute force on small texts."""
 
 import re
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -225,18 +226,55 @@ def brute_tiles(document, item, least):
         covered += n
 
 
-def test_tiling_covers_what_brute_force_covers():
+@pytest.mark.parametrize("pairs_at_once", [1 << 20, 1, 7])
+def test_tiling_covers_what_brute_force_covers(monkeypatch, pairs_at_once):
+    monkeypatch.setattr(decontamination, "_PAIRS_AT_ONCE", pairs_at_once)
     rng = np.random.default_rng(2)
     for _ in range(40):
         item = rng.integers(0, 4, 24)
         document = np.concatenate([rng.integers(0, 4, 10), item[12:], rng.integers(0, 4, 5), item[:12]])
-        seeds = [(d, i) for d, i in product(range(len(document) - 2), range(len(item) - 2)) if list(document[d : d + 3]) == list(item[i : i + 3])]
-        at_d, at_i = (np.array(x) for x in zip(*seeds, strict=True))
-        tiles = decontamination.tile(document, item, at_d, at_i, 3)
+        marks, seeds = (np.array([int(x @ [1, 4, 16]) for x in np.lib.stride_tricks.sliding_window_view(t, 3)]) for t in (document, item))
+        order = np.argsort(seeds, kind="stable")
+        runs = decontamination.seed_runs(np.arange(len(marks)), marks, seeds[order], np.arange(len(seeds))[order])
+        tiles = decontamination.tile(len(document), len(item), runs, 3)
         assert sum(n for _, _, n in tiles) == brute_tiles(list(document), list(item), 3)
         assert all(list(document[d : d + n]) == list(item[i : i + n]) for d, i, n in tiles)
 
 
+def test_texts_that_repeat_a_word_take_bounded_memory():
+    """One word 16,000 times against an item of 2,000: 32 million pairs of equal seeds."""
+    block = decontamination.index_benchmark(["same", "two"], ["again " * 2000, "again and " * 1000])
+    batch = pa.RecordBatch.from_arrays([pa.array(["again " * 16_000, "again and " * 8000, "other words here"])], ["text"])
+    tracemalloc.start()
+    _, found = decontamination.matches(batch, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {0: [("same", 1.0, [(0, 0, 2000)])], 1: [("two", 1.0, [(0, 0, 2000)])]}
+    assert peak < 300 << 20
+
+
+def test_the_query_against_brute_force(spark):
+    """Random texts of few words: long and short, reordered, repeated and none at all."""
+    rng = np.random.default_rng(31)
+    pool = [f"w{k}" for k in range(9)]
+    items = [(k, [str(x) for x in rng.choice(pool, int(n))]) for k, n in enumerate(rng.integers(5, 22, 12))]
+    documents = []
+    for i in range(60):
+        own = list(items[int(rng.integers(12))][1])
+        cut = int(rng.integers(0, len(own)))
+        words = [*rng.choice(pool, 5), *own[cut:], *rng.choice(pool, 3), *own[: cut - int(rng.integers(0, 4))]]
+        documents.append((i, [str(w) for w in words][: int(rng.integers(3, 45))]))
+    docs = frame(spark, [(i, " ".join(t).upper()) for i, t in documents])
+    benchmark = spark.createDataFrame([(i, ", ".join(t)) for i, t in items], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.contamination(docs, benchmark).collect()}
+    for i, text in documents:
+        covered = {str(k): brute_tiles(text, item, 5) / len(item) for k, item in items}
+        hits = {k: c for k, c in covered.items() if c >= decontamination.MIN_COVERAGE}
+        assert set(filter(None, found[i]["items"].split(","))) == set(hits) and found[i]["n_items"] == len(hits)
+        assert found[i]["coverage"] == pytest.approx(max(hits.values(), default=0.0))
+    assert 5 < sum(r["contaminated"] for r in found.values()) < 60
+
+
 @pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 5])
 def test_contaminated_documents(spark, monkeypatch, block_words):
     monkeypatch.setattr(decontamination.benchmark_blocks, "__defaults__", (block_words,))
