@@ -13,8 +13,11 @@ not, up to the name below a public suffix. So the hosts of one domain share some
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,7 @@ MIN_DISTRUST = 0.001
 TOLERANCE = 1e-10
 _ROUNDS_AT_ONCE = 8
 _EQUAL = 1e-6
+_GRAPH = pa.schema([("source", pa.string()), ("target", pa.string()), ("share", pa.float64())])
 # Names of two labels under which anybody can have a domain; names of one label are such anyway.
 PUBLIC_SUFFIXES = (
     "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp or.jp ne.jp com.br com.cn co.in co.kr co.nz co.za "
@@ -112,8 +116,8 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = None, dampin
 
     It goes on until a round moves less than ``TOLERANCE`` of the rank, or for just so many ``rounds``.
     The ranks are scaled to a sum of one at the end, which is as if the weight that reaches hosts
-    without outgoing links went back to the seeds; without seeds there are none. Each round is
-    a join and an aggregation with a map-side part; the ranks are stored after every eighth.
+    without outgoing links went back to the seeds; without seeds there are none. A graph of more links than
+    may be broadcast is worked on in rounds of joins, a small one in one task.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
@@ -122,7 +126,41 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = None, dampin
     out = links.groupBy("source").agg(F.sum("links").alias("all"))
     share = links.join(out, "source").select("source", "target", (F.col("links") / F.col("all")).alias("share"))
     share = store(share, "share")
-    share = F.broadcast(share) if fits_broadcast(share) else share
+    if fits_broadcast(share) and fits_broadcast(start):
+        ranks = store(_walked(share, start, rounds, damping), "ranks")
+    else:
+        ranks = _spread_in_rounds(share, start, rounds, damping)
+    total = ranks.agg(F.sum("rank")).first()[0]
+    return ranks.select("host", (F.col("rank") / F.lit(float(total))).alias("rank"))
+
+
+def _walked(share: DataFrame, start: DataFrame, rounds: int | None, damping: float) -> DataFrame:
+    """All rounds of a graph small enough to be broadcast, in one task."""
+    seeds = start.select(F.col("host").alias("source"), F.lit(None).cast("string").alias("target"), F.col("start").alias("share"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, _GRAPH).to_pydict()
+        names = sorted({x for side in ("source", "target") for x in rows[side] if x is not None})
+        number = {name: k for k, name in enumerate(names)}
+        links = [(number[s], number[t], w) for s, t, w in zip(*rows.values()) if t is not None]
+        source, target, weight = (np.array(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 3
+        first = np.zeros(len(names))
+        for s, t, w in zip(*rows.values()):
+            if t is None:
+                first[number[s]] = w
+        rank, turn, change = first, 0, 1.0
+        while (change > TOLERANCE) if rounds is None else (turn < rounds):
+            moved = np.bincount(target, rank[source] * weight, len(names)) if len(links) else 0.0
+            new = damping * moved + (1 - damping) * first
+            rank, turn, change = new, turn + 1, float(np.abs(new - rank).sum())
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(rank)], ["host", "rank"])
+
+    return share.unionByName(seeds).coalesce(1).mapInArrow(run, "host string, rank double")
+
+
+def _spread_in_rounds(share: DataFrame, start: DataFrame, rounds: int | None, damping: float) -> DataFrame:
+    """Each round is a join and an aggregation with a map-side part; the ranks are stored after every eighth."""
     restart = start.select("host", ((1 - damping) * F.col("start")).alias("rank"))
     ranks = start.select("host", F.col("start").alias("rank"))
     turn = 0
@@ -139,8 +177,7 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = None, dampin
             change = ranks.union(before.select("host", -F.col("rank"))).groupBy("host").agg(F.sum("rank").alias("change"))
             if (change.agg(F.sum(F.abs("change"))).first()[0] or 0.0) <= TOLERANCE:
                 break
-    total = ranks.agg(F.sum("rank")).first()[0]
-    return ranks.select("host", (F.col("rank") / F.lit(float(total))).alias("rank"))
+    return ranks
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
