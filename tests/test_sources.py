@@ -130,9 +130,11 @@ def test_dated_tables_are_read_for_the_months_of_the_windows(spark, tmp_path, ma
     for options in ({}, {"acute_lookback": 2, "chronic_lookback": 2}):
         found, expected = (events.find_events(c, people, members, "concept", **options) for c in (dated, plain))
         assert rows(found) == rows(expected) and found.columns == expected.columns
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     found = events.find_events(dated, people, members, "concept")
     plan = found._jdf.queryExecution().executedPlan().toString()
     filters = [f for f in re.findall(r"PartitionFilters: \[(.*?)\]", plan) if "event_month" in f]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert len(filters) == 3 and all("2018-03-01" in f and "2019-05-01" in f for f in filters)
     everything = dated.table(names.table)
     year = everything.filter("event_month between date'2018-03-01' and date'2019-05-01'")
