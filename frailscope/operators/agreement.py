@@ -24,8 +24,11 @@ def _complete(pairs: DataFrame, exclude: str | None) -> DataFrame:
 
 
 def category_correlation(pairs: DataFrame, exclude: str | None = None) -> DataFrame:
-    """Pearson correlation over the categories both derivations have."""
-    return _complete(pairs, exclude).agg(F.corr("score_a", "score_b").alias("correlation"))
+    """Pearson correlation over the categories both derivations have; NULL if either score is the same in all of them."""
+    spread = F.stddev_pop("score_a") * F.stddev_pop("score_b")
+    # Not F.corr, which divides by zero where a score does not vary.
+    value = F.try_divide(F.covar_pop("score_a", "score_b"), spread)
+    return _complete(pairs, exclude).agg(value.alias("correlation"))
 
 
 def category_icc(pairs: DataFrame, exclude: str | None = None) -> DataFrame:

@@ -692,8 +692,12 @@ def cdm_from_files(q: Inputs):
 
 @query
 def cdm_from_views(q: Inputs):
-    q.table("person").createOrReplaceTempView("frailscope_person")
-    return OmopCdm(q.spark).table("frailscope_person")
+    name = f"frailscope_person_{uuid4().hex}"
+    q.table("person").createOrReplaceTempView(name)
+    try:
+        return OmopCdm(q.spark).table(name)
+    finally:
+        q.spark.catalog.dropTempView(name)  # the table found does not need it any more
 
 
 @query

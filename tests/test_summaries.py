@@ -119,6 +119,15 @@ def test_agreement(spark):
     assert agreement.category_correlation(straight, exclude="C").first()[0] == pytest.approx(1.0)
 
 
+def test_correlation_of_a_score_that_does_not_vary(spark):
+    schema = "category string, score_a double, score_b double"
+    flat = spark.createDataFrame([("A", 1.0, 2.0), ("B", 2.0, 2.0), ("C", 3.0, 2.0), ("D", 4.0, 5.0)], schema)
+    assert agreement.category_correlation(flat, exclude="D").first()[0] is None
+    assert agreement.category_correlation(flat).first()[0] == pytest.approx(0.7745966692)
+    assert agreement.category_correlation(flat.limit(0)).first()[0] is None
+    assert agreement.category_correlation(flat.limit(1)).first()[0] is None
+
+
 def test_totals_compared(spark, events):
     other = events.filter("category = 'X'").limit(1)
     assert rows(agreement.compare_category_totals(events, other)) == [("X", 2.0, 1.0), ("Y", 2.0, None)]
