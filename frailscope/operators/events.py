@@ -280,22 +280,11 @@ def find_events_by_source_code(
     wanted = stacked.select(F.col("code").alias("source_value"), "deficit").distinct()
     facts = domain_events(cdm, domains, source_values=True, months=True)
     kept = _kept(cohort)
-    found = (
-        _search(facts, wanted, "source_value", measure(wanted), cohort, 1, 1)
-        .select(
-            "person_id",
-            *kept,
-            "concept_id",
-            "start_date",
-            "deficit",
-            "source_value",
-            "person_start_date",
-            "person_end_date",
-            "domain",
-        )
-        .distinct()
-        .drop("domain")
-    )
+    # A code may stand for many deficits, so repeated events go before they are unfolded to them.
+    codes = wanted.select("source_value").distinct()
+    hits = _search(facts, codes, "source_value", measure(codes), cohort, 1, 1)
+    event = ["person_id", *kept, "concept_id", "start_date", "source_value", "person_start_date", "person_end_date", "domain"]
+    found = lookup_join(hits.select(*event).distinct().drop("domain"), wanted, "source_value", measured=measure(wanted))
     named = cdm.table("concept").select("concept_id", "concept_name", "vocabulary_id")
     return found.join(named, "concept_id", "left").select(
         "person_id",

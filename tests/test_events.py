@@ -175,3 +175,18 @@ def test_arguments_are_checked(spark, make_cdm, cohort):
     with pytest.raises(ValueError, match="lacks column"):
         events.search_window(people, start="visit_lookback_date")
     assert events.frailty_events(cdm, concepts, "VAFI", people).count() == 0
+
+
+def test_repeated_events_go_before_codes_unfold_to_deficits(spark, make_cdm):
+    found = [(1, 10, "2020-03-01", "A1")] * 3 + [(1, 10, "2020-03-02", "A1"), (1, 11, "2020-03-01", "Z9"), (1, 12, "2020-03-01", None)]
+    cdm = make_cdm([(10, "S"), (11, "S"), (12, "S")], condition=found, device=found[:1])
+    cohort = spark.createDataFrame([(1, day("2020-01-01"), day("2020-12-31"))], "person_id long, person_start_date date, person_end_date date")
+    codes = spark.createDataFrame([("A1", f"d{k}") for k in range(30)] * 2, "code string, deficit string")
+    hits = events.find_events_by_source_code(cdm, cohort, [codes, codes])
+    got = rows(hits, "concept_id", "start_date", "deficit", "concept_name")
+    # Once in the device table too.
+    days = ["2020-03-01", "2020-03-01", "2020-03-02"]
+    assert got == sorted((10, day(d), f"d{k}", "name 10") for k in range(30) for d in days)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    distinct = [line for line in plan.splitlines() if "Aggregate [" in line and "person_id" in line]
+    assert distinct and not any("deficit" in line for line in distinct)
