@@ -32,9 +32,9 @@ _QUERIES: dict[str, Query] = {}
 class Inputs:
     """Views and stored intermediates one query needs."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, source_values: bool = False) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, source_values: bool = False, store_lines: bool = False) -> None:
         self.spark = tune(spark)
-        self.cdm = FixtureCdm(spark, sf_dir, source_values)
+        self.cdm = FixtureCdm(spark, sf_dir, source_values, store_lines)
 
     def table(self, name: str) -> DataFrame:
         return self.cdm.table(name)
@@ -133,13 +133,13 @@ class Inputs:
         return agreement.compare_category_totals(by_concept, by_code)
 
 
-def query(build: Callable[[Inputs], DataFrame] | None = None, *, name: str | None = None, source_values: bool = False):
+def query(build: Callable[[Inputs], DataFrame] | None = None, *, name: str | None = None, **inputs: bool):
     """Register a function of :class:`Inputs`, under its own name; doubles are rounded to 6 places."""
     if build is None:
-        return lambda function: query(function, name=name, source_values=source_values)
+        return lambda function: query(function, name=name, **inputs)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(build(Inputs(spark, sf_dir, source_values)))
+        return rounded(build(Inputs(spark, sf_dir, **inputs)))
 
     _QUERIES[name or build.__name__] = run
     return build
@@ -371,7 +371,7 @@ def code_index_categories(q: Inputs):
     return events.code_index_events(q.cdm, q.fi_indices, "vafi", q.windows, unique_categories=True)
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def events_by_source_code(q: Inputs):
     return q.code_events
 
@@ -550,12 +550,13 @@ def category_report(q: Inputs):
     return summaries.percent_category(found.events, found.cohort, "Brand#7", "vafi", q.fi_indices)
 
 
-@query
+@query(store_lines=True)
 def stacked_category_reports(q: Inputs):
     reports = {}
-    for spec, category in ((ONE_YEAR, "Brand#7"), (EFI_DRUGS, "PROMO")):
-        found = q.study(spec)
-        reports[spec.name] = summaries.percent_category(found.events, found.cohort, category, spec.name, q.fi_indices)
+    studies = q.studies({spec.name: spec for spec in (ONE_YEAR, EFI_DRUGS)})
+    for name, category in ((ONE_YEAR.name, "Brand#7"), (EFI_DRUGS.name, "PROMO")):
+        found = studies.study(name)
+        reports[name] = summaries.percent_category(found.events, found.cohort, category, name, q.fi_indices)
     return summaries.stack_summaries(reports)
 
 
@@ -633,27 +634,27 @@ def rate_distribution(q: Inputs):
 # ---- agreement ----------------------------------------------------------------------------------
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def category_totals_compared(q: Inputs):
     return q.category_pairs
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def category_correlation(q: Inputs):
     return agreement.category_correlation(q.category_pairs)
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def category_correlation_without_one(q: Inputs):
     return agreement.category_correlation(q.category_pairs, exclude="Brand#7")
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def category_icc(q: Inputs):
     return agreement.category_icc(q.category_pairs)
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def category_icc_without_one(q: Inputs):
     return agreement.category_icc(q.category_pairs, exclude="Brand#7")
 
@@ -665,12 +666,12 @@ def _reconciled(q: Inputs, rows: bool) -> DataFrame:
     return agreement.reconcile_concepts(by_code, found.groupBy("concept_id", "category").agg(n), rows)
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def reconciled_concepts(q: Inputs):
     return _reconciled(q, rows=False)
 
 
-@query(source_values=True)
+@query(source_values=True, store_lines=True)
 def reconciled_concept_rows(q: Inputs):
     return _reconciled(q, rows=True)
 

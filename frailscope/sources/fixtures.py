@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from frailscope.operators.events import DOMAINS
 from frailscope.sources.cdm import OmopCdm
+from frailscope.sources.scratch import store
 
 # Which order lines play which clinical domain.
 _DOMAIN_LINES = {"condition": (1, 2, 3), "observation": (4, 5), "procedure": (6,), "device": (7,)}
@@ -24,11 +25,13 @@ _RAW = {
 class FixtureCdm(OmopCdm):
     """Serves OMOP tables derived from ``customer``, ``orders``, ``lineitem`` and ``part``.
 
-    The source codes of clinical rows cost a join to ``part``, so they come only on request.
+    The source codes of clinical rows cost a join to ``part``, so they come only on request. With ``store_lines`` order
+    lines meet their orders once, and all clinical domains and drug eras read the stored rows.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, source_values: bool = False) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, source_values: bool = False, store_lines: bool = False) -> None:
         super().__init__(spark)
+        self._store_lines = store_lines
         self._dir = sf_dir.rstrip("/")
         self._source_values = source_values
         self._built: dict[str, DataFrame] = {}
@@ -106,15 +109,17 @@ class FixtureCdm(OmopCdm):
             (key - key % 10).alias("ancestor_concept_id"), key.alias("descendant_concept_id")
         )
 
+    def _owned_lines(self) -> DataFrame:
+        """Order lines with the person of their order."""
+        people = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("person_id"))
+        lines = self.raw("lineitem").withColumn("start_date", F.col("l_shipdate").cast("date")).join(people, "l_orderkey")
+        found = lines.select("person_id", "l_partkey", "l_linenumber", "l_quantity", "start_date")
+        return store(found, "lines") if self._store_lines else found
+
     def _clinical(self, domain: str) -> DataFrame:
         columns = DOMAINS[domain]
-        lines = self.raw("lineitem").filter(F.col("l_linenumber").isin(*_DOMAIN_LINES[domain]))
-        people = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"))
-        rows = lines.join(people, "l_orderkey").select(
-            F.col("o_custkey").alias("person_id"),
-            F.col("l_partkey").alias("concept_id"),
-            F.col("l_shipdate").cast("date").alias("start_date"),
-        )
+        lines = self.table("owned_lines").filter(F.col("l_linenumber").isin(*_DOMAIN_LINES[domain]))
+        rows = lines.select("person_id", F.col("l_partkey").alias("concept_id"), "start_date")
         if self._source_values:
             codes = self.table("concept").select("concept_id", F.col("concept_code").alias("source_value"))
             rows = rows.join(codes, "concept_id")
@@ -134,13 +139,11 @@ class FixtureCdm(OmopCdm):
         return self._clinical("device")
 
     def _drug_era(self) -> DataFrame:
-        people = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"))
-        start = F.col("l_shipdate").cast("date")
-        return self.raw("lineitem").join(people, "l_orderkey").select(
-            F.col("o_custkey").alias("person_id"),
+        return self.table("owned_lines").select(
+            "person_id",
             (F.col("l_partkey") % 200).alias("drug_concept_id"),
-            start.alias("drug_era_start_date"),
-            F.date_add(start, 3 * F.col("l_quantity").cast("int")).alias("drug_era_end_date"),
+            F.col("start_date").alias("drug_era_start_date"),
+            F.date_add("start_date", 3 * F.col("l_quantity").cast("int")).alias("drug_era_end_date"),
         )
 
     def _drug_exclusions(self) -> DataFrame:

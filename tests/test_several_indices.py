@@ -29,6 +29,14 @@ def test_studies_are_the_separate_ones(spark, inputs, both_joins):
         assert rows(together.summary().select(alone.summary().columns)) == rows(alone.summary())
 
 
+def test_stacked_reports_search_once(spark, monkeypatch):
+    searched = []
+    domains = events.domain_events
+    monkeypatch.setattr(events, "domain_events", lambda *args, **more: searched.append(args) or domains(*args, **more))
+    found = catalog.queries()["stacked_category_reports"](spark, f"{DATA}/sf0.001")
+    assert len(searched) == 1 and found.select("fi").distinct().count() == 2
+
+
 def test_every_domain_is_scanned_once(spark, inputs):
     tables = {t: f"/{t}-marked" for t in ("condition_occurrence", "observation", "procedure_occurrence", "device_exposure")}
 
