@@ -352,18 +352,26 @@ class Pieces:
 
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
         """(piece ids end to end, first id of each text, N best scores of each text)."""
+        ids, first, scores, _ = self.encode_n_best(text)
+        return ids, first, scores
+
+    def encode_n_best(self, text: Text, with_paths: bool = False) -> tuple[np.ndarray, np.ndarray, list[list[float]], list[list[np.ndarray]]]:
+        """:meth:`encode`, and with ``with_paths`` the ids of the N best segmentations of each text, the best one first."""
         data, start, end, first = split_units(self.vocabulary, text)
         hashes = span_hashes(prefix_hashes(data, fold=False), start, end)
         distinct, lead, which = np.unique(hashes, return_index=True, return_inverse=True)
         which = self.solved.look_up(distinct, data, start[lead], end[lead])[which]
         units = self.solved.units
         ids = gather(units.ids, units.first[which], units.counts[which])
+        unit_ids = np.concatenate([[0], np.cumsum(units.counts[which])]).astype(np.int64)
         counts = segments(units.counts[which], first)
         best = segments(units.best[which], first)
         loss = units.loss[which]
-        scores = []
+        scores: list[list[float]] = []
+        found: list[list[np.ndarray]] = []
         for i in range(len(first) - 1):
-            drops = [0.0]
+            # What a segmentation loses against the best one, and where it leaves it: units and their other ids.
+            kept: list[tuple[float, tuple[tuple[int, list[int]], ...]]] = [(0.0, ())]
             own = loss[first[i] : first[i + 1]]
             if self.n_best > 1 and len(own):
                 few = self.n_best - 1
@@ -371,10 +379,15 @@ class Pieces:
                 for k in near[np.isfinite(own[near])]:
                     unit = first[i] + k
                     paths = self.paths(data[start[unit] : end[unit]].tobytes())
-                    choices = [paths[0][0] - score for score, _ in paths]
-                    drops = sorted(a + b for a in drops for b in choices)[: self.n_best]
-            scores.append([float(best[i]) - x for x in drops])
-        return ids, np.concatenate([[0], np.cumsum(counts)]), scores
+                    usual = ids[unit_ids[unit] : unit_ids[unit + 1]].tolist()
+                    others = [(paths[0][0] - score, ((unit, path),)) for score, path in paths if path != usual]
+                    choices = [(0.0, ()), *others[:few]]
+                    kept = sorted(((a + b, x + y) for a, x in kept for b, y in choices), key=lambda p: p[0])[: self.n_best]
+            scores.append([float(best[i]) - drop for drop, _ in kept])
+            if with_paths:
+                ends = unit_ids[first[i]], unit_ids[first[i + 1]]
+                found.append([_spliced(ids, *ends, unit_ids, changes) for _, changes in kept])
+        return ids, np.concatenate([[0], np.cumsum(counts)]), scores, found
 
     def n_best_ids(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of one text in full."""
@@ -396,6 +409,15 @@ class Pieces:
         return Text(data[keep], ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)]))
 
 
+def _spliced(ids: np.ndarray, start: int, end: int, unit_ids: np.ndarray, changes: tuple[tuple[int, list[int]], ...]) -> np.ndarray:
+    """``ids`` from ``start`` to ``end`` with other ids for the units of ``changes``."""
+    parts = []
+    for unit, path in sorted(changes):
+        parts += [ids[start : unit_ids[unit]], np.array(path, ids.dtype)]
+        start = unit_ids[unit + 1]
+    return np.concatenate([*parts, ids[start:end]]).astype(np.int32)
+
+
 def same_texts(a: Text, b: Text) -> np.ndarray:
     """Per text whether the bytes are equal."""
     equal = np.diff(a.bounds) == np.diff(b.bounds)
@@ -410,12 +432,14 @@ def same_texts(a: Text, b: Text) -> np.ndarray:
 _SCHEMA = "doc_id long, n_pieces long, ids_hash long, nbest_scores array<double>, round_trip boolean"
 
 
-def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_pieces, ids_hash, nbest_scores, round_trip[, ids]) for every row of ``docs`` (doc_id, text).
+def encode(
+    docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, with_ids: bool = True, with_paths: bool = False
+) -> DataFrame:
+    """(doc_id, n_pieces, ids_hash, nbest_scores, round_trip[, ids][, nbest_ids]) for every row of ``docs`` (doc_id, text).
 
     ``ids`` is the best segmentation, ``ids_hash`` a hash of it, ``nbest_scores`` the scores of the
-    ``n_best`` best segmentations in falling order (fewer if the text has fewer), and ``round_trip``
-    says whether decoding the ids gives the text back. A text is encoded with a space before it, a
+    ``n_best`` best segmentations in falling order (fewer if the text has fewer), ``nbest_ids`` these segmentations
+    in the same order, the first of them equal to ``ids``, and ``round_trip`` says whether decoding the ids gives the text back. A text is encoded with a space before it, a
     null or empty one has no pieces and one segmentation of score 0. Rows are worked on one by one,
     so repeated rows and ids do not matter.
     """
@@ -427,7 +451,7 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, with_ids:
             coders.append(Pieces(vocabulary.value, n_best))
         coder = coders[0]
         text = text_bytes(batch.column("text"))
-        ids, first, scores = coder.encode(text)
+        ids, first, scores, paths = coder.encode_n_best(text, with_paths)
         same = same_texts(coder.decode(ids, first), text)
         place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
         marks = mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(place.astype(np.uint64)))
@@ -442,10 +466,18 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, with_ids:
         if with_ids:
             arrays.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
             names.append("ids")
+        if with_paths:
+            flat = [path for own in paths for path in own]
+            inner = np.concatenate([[0], np.cumsum([len(path) for path in flat])]).astype(np.int32)
+            outer = np.concatenate([[0], np.cumsum([len(own) for own in paths])]).astype(np.int32)
+            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+            arrays.append(pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), values)))
+            names.append("nbest_ids")
         return pa.RecordBatch.from_arrays(arrays, names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_text(plain, run, _SCHEMA + (", ids array<int>" if with_ids else ""))
+    more = (", ids array<int>" if with_ids else "") + (", nbest_ids array<array<int>>" if with_paths else "")
+    return map_text(plain, run, _SCHEMA + more)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:

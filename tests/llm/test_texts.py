@@ -1,5 +1,6 @@
 """Words, links, near copies, benchmark passages and pieces against brute force on small texts."""
 
+import hashlib
 import re
 import tracemalloc
 from itertools import product
@@ -8,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from frailscope.llm import decontamination, minhash, pieces, tokens
+from conftest import DATA
+from frailscope.llm import decontamination, minhash, pieces, queries, tokens
 from frailscope.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -335,6 +337,33 @@ def test_n_best_segmentations_are_those_of_brute_force(toy):
     assert pieces.same_texts(coder.decode(ids, first), text).all()
 
 
+def test_n_best_segmentations_in_full(toy):
+    rng = np.random.default_rng(5)
+    coder = pieces.Pieces(toy, 5)
+    texts = ["", "aaaaaaaa", *("".join(rng.choice(list("abc d"), rng.integers(1, 9))) for _ in range(60))]
+    ids, first, scores, paths = coder.encode_n_best(tokens.text_bytes(pa.array(texts)), with_paths=True)
+    for i, raw in enumerate(texts):
+        every = brute_paths(toy, b" " + raw.encode()) if raw else [(0.0, [])]
+        own = [p.tolist() for p in paths[i]]
+        assert own[0] == ids[first[i] : first[i + 1]].tolist()
+        assert len(own) == len(scores[i]) == min(5, len(every)) and len(set(map(tuple, own))) == len(own)
+        assert all((s, p) in every for s, p in zip(scores[i], own))
+
+
+def test_the_query_has_every_id_of_the_n_best(spark):
+    path = f"{DATA}/sf0.001"
+    found = queries.queries()["op10_sentencepiece_n_best"](spark, path)
+    assert {"ids_sha256", "nbest_sha256"} <= set(found.columns)
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(5)
+    full = {r["doc_id"]: r for r in pieces.encode(docs, with_paths=True).collect()}
+    for r in found.filter(found.doc_id.isin(*full)).collect():
+        own = full[r["doc_id"]]
+        joined = [",".join(map(str, p)) for p in own["nbest_ids"]]
+        assert len(joined) == len(own["nbest_scores"]) and own["nbest_ids"][0] == own["ids"]
+        assert r["ids_sha256"] == hashlib.sha256(joined[0].encode()).hexdigest()
+        assert r["nbest_sha256"] == hashlib.sha256(";".join(joined).encode()).hexdigest()
+
+
 def test_encoded_texts_decode_to_themselves(spark):
     rows = [*HARD, (950, "▁ literal mark"), (951, "x" * 3000 + "ab" * 700)]
     docs = frame(spark, rows)
