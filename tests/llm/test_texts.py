@@ -8,6 +8,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DATA
 from frailscope.llm import decontamination, minhash, pieces, queries, tokens
@@ -353,15 +354,15 @@ def test_n_best_segmentations_in_full(toy):
 def test_the_query_has_every_id_of_the_n_best(spark):
     path = f"{DATA}/sf0.001"
     found = queries.queries()["op10_sentencepiece_n_best"](spark, path)
-    assert {"ids_sha256", "nbest_sha256"} <= set(found.columns)
+    assert {"ids_sha256", "nbest_hashes"} <= set(found.columns)
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(5)
-    full = {r["doc_id"]: r for r in pieces.encode(docs, with_paths=True).collect()}
+    full = pieces.encode(docs, with_paths=True).withColumn("hashes", F.transform("nbest_ids", lambda x: F.xxhash64(x)))
+    full = {r["doc_id"]: r for r in full.collect()}
     for r in found.filter(found.doc_id.isin(*full)).collect():
         own = full[r["doc_id"]]
-        joined = [",".join(map(str, p)) for p in own["nbest_ids"]]
-        assert len(joined) == len(own["nbest_scores"]) and own["nbest_ids"][0] == own["ids"]
-        assert r["ids_sha256"] == hashlib.sha256(joined[0].encode()).hexdigest()
-        assert r["nbest_sha256"] == hashlib.sha256(";".join(joined).encode()).hexdigest()
+        assert len(own["nbest_ids"]) == len(own["nbest_scores"]) and own["nbest_ids"][0] == own["ids"]
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, own["ids"])).encode()).hexdigest()
+        assert r["nbest_hashes"] == ",".join(map(str, own["hashes"])) and len(set(own["hashes"])) == len(own["hashes"])
 
 
 def test_encoded_texts_decode_to_themselves(spark):
