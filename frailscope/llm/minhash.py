@@ -46,15 +46,6 @@ ROUNDS = (1, 2, 4)
 _LONGS = 16
 _BITS = [f"{side}_{i}" for side in ("extra", "lack") for i in range(_LONGS)]
 _BOUND_COLUMNS = ["common", "lacking", "extra_more", "lack_more", *_BITS]
-# Two sets with the same pivot have no more in common than this: of the pivot what neither lacks, and
-# of their own elements at most one per bin that both occupy and those beyond one per bin.
-_MOST_COMMON = (
-    "least(common, common_a) + least(n - common, n_a - common_a, least(extra_more, extra_more_a) + "
-    + " + ".join(f"bit_count(extra_{i} & extra_{i}_a)" for i in range(_LONGS))
-    + ") - greatest(0, greatest(lack_more, lack_more_a) + "
-    + " + ".join(f"bit_count(lack_{i} | lack_{i}_a)" for i in range(_LONGS))
-    + " - greatest(lacking, lacking_a))"
-)
 
 _rng = np.random.default_rng(7)
 _PROBES = np.array([_rng.permutation(BINS) for _ in range(BINS)])
@@ -62,6 +53,34 @@ _BANDS = BINS // ROWS_PER_BAND
 _ROW_FACTORS = _rng.integers(1 << 62, 1 << 64, (_BANDS, ROWS_PER_BAND), dtype=np.uint64) | np.uint64(1)
 
 
+def _at_most(longs: Sequence[object], extra_more: str, lack_more: str) -> str:
+    """How much two sets with the same pivot have in common at most.
+
+    Of the pivot what neither lacks, and of their own elements one per bin that both occupy and those beyond one per bin.
+    """
+
+    def of_both(how: str, more: str) -> str:
+        return f"{how}({more.format('')}, {more.format('_a')})"
+
+    shared = " + ".join(f"bit_count(extra_{i} & extra_{i}_a)" for i in longs)
+    lacked = " + ".join(f"bit_count(lack_{i} | lack_{i}_a)" for i in longs)
+    return (
+        f"least(common, common_a) + least(n - common, n_a - common_a, {of_both('least', extra_more)} + {shared})"
+        f" - greatest(0, {of_both('greatest', lack_more)} + {lacked} - greatest(lacking, lacking_a))"
+    )
+
+
+_MOST_COMMON = _at_most(range(_LONGS), "extra_more{0}", "lack_more{0}")
+# The same with one of 128 bins for 8 of the others: never less, and few enough columns to go through a join with every key.
+_ROUGH_BITS = {f"{side}_any_{k}": [f"{side}_{i}" for i in range(k, _LONGS, 2)] for side in ("extra", "lack") for k in (0, 1)}
+_ROUGHLY_COMMON = _at_most(
+    ["any_0", "any_1"],
+    "n{0} - common{0} - bit_count(extra_any_0{0}) - bit_count(extra_any_1{0})",
+    "lacking{0} - bit_count(lack_any_0{0}) - bit_count(lack_any_1{0})",
+)
+_ROUGH_COLUMNS = ["n", "common", "lacking", *_ROUGH_BITS]
+
+
 def shingle_sets(batch: pa.RecordBatch, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in ascending order, and where each text begins."""
     hashes, first = grams(words_of(text_bytes(batch.column("text"))), size)
@@ -307,20 +326,22 @@ def _alike_inside(
         F.sequence(F.lit(0), F.lit(_DIFFERENCE_BINS - 1)),
         lambda i: F.xxhash64("hub", i, *(bins[(i + k) % F.lit(_DIFFERENCE_BINS)] for k in range(agreeing))),
     )
-    differs = (F.col("lacking") + F.col("n") - F.col("common")).alias("differs")
-    entries = known.filter(F.size("bins") > 0).select("hub", "class", "n", differs, F.explode(key).alias("key"))
+    rough = ["n", "common", "lacking", *(F.expr(" | ".join(bits)).alias(name) for name, bits in _ROUGH_BITS.items())]
+    entries = known.filter(F.size("bins") > 0).select("hub", "class", *rough, F.explode(key).alias("key"))
     entries = store(placed(entries), "entries")
+    differs = F.col("lacking") + F.col("n") - F.col("common")
     stars = entries.groupBy("key").agg(
-        F.min(F.struct("differs", "class", "n", "component")).alias("centre"),
+        F.min(F.struct(differs, "class", "component", *_ROUGH_COLUMNS)).alias("centre"),
         F.min("component").alias("lo"),
         F.max("component").alias("hi"),
     )
-    stars = store(stars.filter("lo < hi").select("key", "centre"), "stars_of_differences")
+    centre = [F.col(f"centre.{c}").alias(f"{c}_a") for c in ("component", *_ROUGH_COLUMNS)]
+    stars = store(stars.filter("lo < hi").select("key", F.col("centre.class").alias("a"), *centre), "stars_of_differences")
     if stars.isEmpty():
         return None
-    spokes = lookup_join(entries, stars, "key").filter((F.col("component") != F.col("centre.component")))
-    spokes = spokes.filter(_near("n", "centre.n"))
-    pairs = store(spokes.select("hub", F.col("class").alias("b"), F.col("centre.class").alias("a")).distinct(), "spokes")
+    spokes = lookup_join(entries, stars, "key").filter(F.col("component") != F.col("component_a"))
+    spokes = spokes.filter(_near("n", "n_a") & _similar(F.expr(_ROUGHLY_COMMON), "n", "n_a"))
+    pairs = store(spokes.select("hub", F.col("class").alias("b"), "a").distinct(), "spokes")
     bounds = known.select("hub", "class", "n", *_BOUND_COLUMNS)
     both = pairs.join(bounds.withColumnRenamed("class", "b"), ["hub", "b"])
     both = both.join(bounds.select("hub", F.col("class").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("n", *_BOUND_COLUMNS))), ["hub", "a"])

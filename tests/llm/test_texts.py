@@ -169,6 +169,24 @@ def test_pairs_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
     assert sizes[2] < 600 * minhash._BANDS and sizes[2] < 2.5 * sizes[1] < 6 * sizes[0]
 
 
+def test_the_join_of_differences_leaves_out_what_cannot_be_similar(spark, monkeypatch):
+    """Members of a group that are not similar to each other are left out in the join, not after it."""
+    joined = []
+    store = minhash.store
+
+    def counted(rows, name):
+        out = store(rows, name)
+        if name == "spokes" and "hub" in out.columns:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "store", counted)
+    rows = template_rows(np.random.default_rng(23), 150, 0)
+    found = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert all(r["kept"] for r in found)
+    assert len(joined) == len(minhash.ROUNDS) and sum(joined) < 10 * len(rows)
+
+
 def test_repeated_ids_and_rows_without_ids(spark):
     a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
     rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (None, b), (4, "alone here"), (4, "alone here"), (None, None), (None, None)]
@@ -206,6 +224,27 @@ def test_bound_on_common_parts_holds():
         assert eval(minhash._MOST_COMMON, names, row) >= len(np.intersect1d(*sides))
 
 
+def test_rough_bound_is_never_below_the_other():
+    """So the join of differences leaves out no pair that the bound after it would keep."""
+    rng = np.random.default_rng(9)
+    names = {"least": min, "greatest": max, "bit_count": int.bit_count}
+    for _ in range(300):
+        pivot = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 400)), dtype=np.uint64))
+        pool = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 300)), dtype=np.uint64))
+        row = {}
+        for name in ("", "_a"):
+            own = [rng.choice(part, int(rng.integers(0, len(part) + 1)), replace=False) for part in (pivot, pool)]
+            lack = np.setdiff1d(pivot, own[0])
+            row |= {f"n{name}": len(own[0]) + len(own[1]), f"common{name}": len(own[0]), f"lacking{name}": len(lack)}
+            for side, part in (("extra", own[1]), ("lack", lack)):
+                more, bits = minhash._occupied(part)
+                longs = [int(b) & (2**64 - 1) for b in bits]
+                row |= {f"{side}_more{name}": more} | {f"{side}_{k}{name}": b for k, b in enumerate(longs)}
+            for column, folded in minhash._ROUGH_BITS.items():
+                row[f"{column}{name}"] = int(np.bitwise_or.reduce([np.uint64(row[f"{c}{name}"]) for c in folded]))
+        assert eval(minhash._ROUGHLY_COMMON, names, row) >= eval(minhash._MOST_COMMON, names, row)
+
+
 def brute_tiles(document, item, least):
     """Greedy string tiling by its definition: the longest unmarked match, again and again."""
     used_d, used_i, covered = [False] * len(document), [False] * len(item), 0
