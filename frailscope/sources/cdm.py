@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,13 @@ class OmopCdm:
             require_columns(df, [c for c in TABLES[name].names if c not in optional], name)
         return df
 
+    def part_of(self, name: str) -> tuple[str, Column] | None:
+        """The wider table that a clinical table is cut from and the condition on its rows, if there is one.
+
+        No row of the wider table is in two tables cut from it. Its columns are named as in the stacked domains.
+        """
+        return None
+
 
 def _replace_table(df: DataFrame, full_name: str, write: Callable[[str], None]) -> DataFrame:
     """Let ``write`` store rows under a fresh catalog name, then put them in the place of ``full_name``."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frailscope.operators.events import DOMAINS
@@ -116,27 +116,38 @@ class FixtureCdm(OmopCdm):
         found = lines.select("person_id", "l_partkey", "l_linenumber", "l_quantity", "start_date")
         return store(found, "lines") if self._store_lines else found
 
-    def _clinical(self, domain: str) -> DataFrame:
-        columns = DOMAINS[domain]
-        lines = self.table("owned_lines").filter(F.col("l_linenumber").isin(*_DOMAIN_LINES[domain]))
-        rows = lines.select("person_id", F.col("l_partkey").alias("concept_id"), "start_date")
+    def part_of(self, name: str) -> tuple[str, Column] | None:
+        for domain, columns in DOMAINS.items():
+            if columns.table == name:
+                return "clinical", F.col("l_linenumber").isin(*_DOMAIN_LINES[domain])
+        return None
+
+    def _clinical(self) -> DataFrame:
+        """Order lines as clinical events; their line number tells the domain."""
+        lines = self.table("owned_lines")
+        rows = lines.select("person_id", F.col("l_partkey").alias("concept_id"), "start_date", "l_linenumber")
         if self._source_values:
             codes = self.table("concept").select("concept_id", F.col("concept_code").alias("source_value"))
             rows = rows.join(codes, "concept_id")
+        return rows
+
+    def _domain(self, domain: str) -> DataFrame:
+        columns = DOMAINS[domain]
+        whole, belongs = self.part_of(columns.table)
         names = {"concept_id": columns.concept, "start_date": columns.date, "source_value": columns.source}
-        return rows.withColumnsRenamed(names)
+        return self.table(whole).filter(belongs).drop("l_linenumber").withColumnsRenamed(names)
 
     def _condition_occurrence(self) -> DataFrame:
-        return self._clinical("condition")
+        return self._domain("condition")
 
     def _observation(self) -> DataFrame:
-        return self._clinical("observation")
+        return self._domain("observation")
 
     def _procedure_occurrence(self) -> DataFrame:
-        return self._clinical("procedure")
+        return self._domain("procedure")
 
     def _device_exposure(self) -> DataFrame:
-        return self._clinical("device")
+        return self._domain("device")
 
     def _drug_era(self) -> DataFrame:
         return self.table("owned_lines").select(
@@ -163,16 +174,17 @@ class FixtureCdm(OmopCdm):
     def _fi_indices(self) -> DataFrame:
         rows = F.expr(
             """
-            array_compact(array(
+            array(
               CASE WHEN p_size <= 40 THEN struct('vafi' AS fi, p_brand AS category, 1.0D AS score) END,
               CASE WHEN p_size > 20 THEN struct('hfrs' AS fi, p_brand AS category, p_size / 10.0D AS score) END,
               struct('efi' AS fi, p_brand AS category, 1.0D AS score),
-              CASE WHEN p_partkey % 7 = 0 THEN struct('efi' AS fi, p_type AS category, 1.0D AS score) END))
+              CASE WHEN p_partkey % 7 = 0 THEN struct('efi' AS fi, p_type AS category, 1.0D AS score) END)
             """
         )
         return (
             self.raw("part")
             .select(F.col("p_partkey").alias("concept_id"), F.explode(rows).alias("r"))
+            .filter(F.col("r").isNotNull())  # cheaper than compacting each array, which is not compiled
             .select("r.category", "concept_id", "r.fi", "r.score")
         )
 

@@ -7,6 +7,7 @@ from conftest import DATA, rows
 from frailscope.operators import concepts, events
 from frailscope.plans.catalog import CHRONIC_3, ONE_YEAR, SEED, Inputs
 from frailscope.plans.frailty import build_cohort
+from frailscope.sources.fixtures import FixtureCdm
 
 COUNTS = {
     "person": 150,
@@ -89,3 +90,54 @@ def test_events_are_the_union_of_their_domains(small):
     whole = events.find_events(small.cdm, small.windows, small.vafi).count()
     parts = [events.find_events(small.cdm, small.windows, small.vafi, domains=[d]).count() for d in events.DOMAINS]
     assert whole == sum(parts)
+
+
+@pytest.fixture
+def own_tables(spark, tmp_path):
+    """One order of person 7, its lines of every number, of none and of no domain, one of them twice."""
+    lines = [(1, 1, n, 1.0, "2020-05-05") for n in (1, 1, 2, 3, 4, 5, 6, 7, 8, None)]
+    tables = {
+        "customer": ([(7,)], "c_custkey long"),
+        "orders": ([(1, 7, "2020-01-01")], "o_orderkey long, o_custkey long, o_orderdate string"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_shipdate string"),
+        "part": (
+            [(1, "bolt", "Brand#1", "PROMO", 41), (7, "nut", "Brand#2", "LARGE", 20), (20, "cog", None, "LARGE", None)],
+            "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+        ),
+    }
+    for name, (data, layout) in tables.items():
+        df = spark.createDataFrame(data, layout)
+        dates = {c: F.col(c).cast("timestamp_ntz") for c in df.columns if c.endswith("date")}
+        df.withColumns(dates).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("source_values", [False, True])
+def test_order_lines_meet_their_orders_once_for_all_domains(spark, own_tables, source_values):
+    cdm = FixtureCdm(spark, own_tables, source_values)
+    stacked = events.domain_events(cdm, source_values=source_values)
+    plan = stacked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1 and plan.count("Relation [o_orderkey") == 1
+    one_by_one = [events.domain_events(cdm, [d], source_values) for d in events.DOMAINS]
+    assert [df.count() for df in one_by_one] == [4, 2, 1, 1]
+    assert rows(stacked) == sorted(r for df in one_by_one for r in rows(df))
+    names = events.DOMAINS["condition"]
+    by_name = cdm.table(names.table).select("person_id", names.concept, names.date)
+    assert rows(by_name) == rows(one_by_one[0], "person_id", "concept_id", "start_date")
+
+
+def test_a_domain_asked_for_twice_is_stacked_twice(spark, own_tables):
+    assert events.domain_events(FixtureCdm(spark, own_tables), ["device", "device"]).count() == 2
+
+
+def test_concepts_of_the_indices(spark, own_tables):
+    found = FixtureCdm(spark, own_tables).table("fi_indices")
+    assert "array_compact" not in found._jdf.queryExecution().analyzed().toString()
+    assert rows(found, "concept_id", "fi", "category", "score") == [
+        (1, "efi", "Brand#1", 1.0),
+        (1, "hfrs", "Brand#1", 4.1),
+        (7, "efi", "Brand#2", 1.0),
+        (7, "efi", "LARGE", 1.0),
+        (7, "vafi", "Brand#2", 1.0),
+        (20, "efi", None, 1.0),
+    ]
