@@ -9,6 +9,7 @@ from typing import NamedTuple, Protocol
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from frailscope.functions.cuts import Cut, cut_of
 from frailscope.functions.dates import in_closed_window, years_before
 from frailscope.functions.joins import fits_broadcast, lookup_join, measure, people_join
 from frailscope.operators.concepts import concept_set, require_index
@@ -42,9 +43,6 @@ DOMAINS: dict[str, DomainColumns] = {
     ),
 }
 
-# The columns of a table that several domains are cut from.
-_STACKED = DomainColumns("", "concept_id", "start_date", "source_value")
-
 # Fixed value: the longest concept name the data model allows.
 _NAME_BYTES = 255
 
@@ -80,20 +78,21 @@ def domain_events(
     unknown = [d for d in domains if d not in DOMAINS]
     if unknown or not domains:
         raise ValueError(f"unknown domains {unknown}; choose from {', '.join(DOMAINS)}")
-    part_of = getattr(cdm, "part_of", None) if len(set(domains)) == len(domains) else None
-    cuts: dict[str, dict[str, Column]] = {}
+    tables = {domain: cdm.table(DOMAINS[domain].table) for domain in domains}
+    cuts: dict[DataFrame, dict[str, Cut]] = {}
     parts = []
     for domain in domains:
-        names = DOMAINS[domain]
-        cut = part_of(names.table) if part_of else None
-        if cut is None:
-            parts.append((cdm.table(names.table), names, F.lit(domain)))
+        names, cut = DOMAINS[domain], cut_of(tables[domain])
+        if cut is None or domain in cuts.get(cut.whole, {}):
+            parts.append((tables[domain], names, F.lit(domain)))
         else:
-            cuts.setdefault(cut[0], {})[domain] = cut[1]
-    for whole, belongs in cuts.items():
-        tag = F.coalesce(*[F.when(condition, F.lit(domain)) for domain, condition in belongs.items()])
-        wanted = reduce(Column.__or__, belongs.values())
-        parts.append((cdm.table(whole).filter(wanted), _STACKED, tag))
+            cuts.setdefault(cut.whole, {})[domain] = cut
+    for whole, found in cuts.items():
+        tag = F.coalesce(*[F.when(cut.belongs, F.lit(domain)) for domain, cut in found.items()])
+        wanted = whole.filter(reduce(Column.__or__, [cut.belongs for cut in found.values()]))
+        first = next(iter(found))
+        old = found[first].names
+        parts.append((wanted, DomainColumns(*[old.get(name, name) for name in DOMAINS[first]]), tag))
     stacked = None
     for table, names, tag in parts:
         month = F.col(EVENT_MONTH) if EVENT_MONTH in table.columns else F.lit(None)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frailscope.functions.cuts import cut_table
 from frailscope.operators.events import DOMAINS
 from frailscope.sources.cdm import OmopCdm
 from frailscope.sources.scratch import store
@@ -116,12 +117,6 @@ class FixtureCdm(OmopCdm):
         found = lines.select("person_id", "l_partkey", "l_linenumber", "l_quantity", "start_date")
         return store(found, "lines") if self._store_lines else found
 
-    def part_of(self, name: str) -> tuple[str, Column] | None:
-        for domain, columns in DOMAINS.items():
-            if columns.table == name:
-                return "clinical", F.col("l_linenumber").isin(*_DOMAIN_LINES[domain])
-        return None
-
     def _clinical(self) -> DataFrame:
         """Order lines as clinical events; their line number tells the domain."""
         lines = self.table("owned_lines")
@@ -133,9 +128,10 @@ class FixtureCdm(OmopCdm):
 
     def _domain(self, domain: str) -> DataFrame:
         columns = DOMAINS[domain]
-        whole, belongs = self.part_of(columns.table)
-        names = {"concept_id": columns.concept, "start_date": columns.date, "source_value": columns.source}
-        return self.table(whole).filter(belongs).drop("l_linenumber").withColumnsRenamed(names)
+        names = {"person_id": "person_id", columns.concept: "concept_id", columns.date: "start_date"}
+        if self._source_values:
+            names[columns.source] = "source_value"
+        return cut_table(self.table("clinical"), F.col("l_linenumber").isin(*_DOMAIN_LINES[domain]), names)
 
     def _condition_occurrence(self) -> DataFrame:
         return self._domain("condition")

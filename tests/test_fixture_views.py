@@ -122,6 +122,7 @@ def test_order_lines_meet_their_orders_once_for_all_domains(spark, own_tables, s
     assert [df.count() for df in one_by_one] == [4, 2, 1, 1]
     assert rows(stacked) == sorted(r for df in one_by_one for r in rows(df))
     names = events.DOMAINS["condition"]
+    assert ("l_linenumber" in cdm.table(names.table).columns, names.source in cdm.table(names.table).columns) == (False, source_values)
     by_name = cdm.table(names.table).select("person_id", names.concept, names.date)
     assert rows(by_name) == rows(one_by_one[0], "person_id", "concept_id", "start_date")
 
